@@ -86,8 +86,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_suffix_array_dedup, op5_bpe_chunks, op6_token_files, op7_url_filters, op8_simhash, op9_exact_topk, op10_line_dedup)}
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
-_HAS = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
 
 SQL = {
     "op7_url_filters": r"""
@@ -98,7 +96,7 @@ fits AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() O
 SELECT split.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fits ON split.page_id = fits.page_id AND r = 1
 """,
     "op9_exact_topk": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
