@@ -1,6 +1,14 @@
-"""The registered queries and their SQL, one module of plans after the other."""
+"""The registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from importlib import import_module
+
+from .plans import registry
+
+#: Modules of plans; importing one registers its queries.
+MODULES = ["texts"]
+for _name in MODULES:
+    import_module(f"lakemill.plans.{_name}")
+
+QUERIES, SQL = registry.QUERIES, registry.SQL
