@@ -7,7 +7,7 @@ from importlib import import_module
 from .plans import registry
 
 #: Modules of plans; importing one registers its queries.
-MODULES = ["texts"]
+MODULES = ["texts", "corpus", "webchat"]
 for _name in MODULES:
     import_module(f"lakemill.plans.{_name}")
 

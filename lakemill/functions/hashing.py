@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, LongType
+
 from .text import bound
 
 
@@ -52,7 +54,7 @@ def affine_minhash(size: int = 5, permutations: int = 128, seed: int = 16062026)
     a = rng.integers(1, prime, permutations, dtype=np.uint64).tolist()
     b = rng.integers(0, prime, permutations, dtype=np.uint64).tolist()
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(ArrayType(LongType()))
     def signature(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import xxhash
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 QUALITY_WORD = r"[\p{L}\p{N}_'-]+"
@@ -69,28 +71,33 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def canonical_nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC, case folding, white space collapsed, trimmed."""
-    import unicodedata
+def _per_text(change: Callable[[str], str]):
+    """An Arrow UDF that changes each text; made when it is used, for that needs a session."""
 
-    for part in parts:
-        yield part.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: None if t is None else change(t))
 
+    return F.pandas_udf(run, StringType())
 
-@F.pandas_udf("string")
-def plain_token(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC, accents stripped, lower case, white space collapsed."""
-    import unicodedata
 
-    def plain(t):
-        if t is None:
-            return None
-        apart = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t))
-        return " ".join("".join(c for c in apart if unicodedata.category(c) != "Mn").lower().split())
+def _folded(t: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+
+
+def _plain(t: str) -> str:
+    apart = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t))
+    return " ".join("".join(c for c in apart if unicodedata.category(c) != "Mn").lower().split())
+
 
-    for part in parts:
-        yield part.map(plain)
+def canonical_nfkc(text: Column | str) -> Column:
+    """NFKC, case folding, white space collapsed, trimmed."""
+    return _per_text(_folded)(text)
+
+
+def plain_token(text: Column | str) -> Column:
+    """NFKC, accents stripped, lower case, white space collapsed."""
+    return _per_text(_plain)(text)
 
 
 def raw_form(text: Column) -> Column:
