@@ -185,10 +185,10 @@ def l20_schedule_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc(F.col("o_orderkey") % 5 == 0), F.desc("o_totalprice"), "o_orderkey").limit(40).select("o_orderkey")
 
 
-@query("SELECT s_suppkey, CAST(ceil(s_suppkey * 1.1 + 10) AS BIGINT) AS next_threshold, round(least(1.0, 1.10 * (s_suppkey * 100.0) / (s_suppkey * 100 + 5000)), 9) AS share FROM supplier")
+@query("SELECT s_suppkey, CAST(ceil(CAST(s_suppkey * 11 AS DOUBLE) / 10) + 10 AS BIGINT) AS next_threshold, round(least(1.0, 1.10 * (s_suppkey * 100.0) / (s_suppkey * 100 + 5000)), 9) AS share FROM supplier")
 def l19_thresholds(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.ceil(k * 1.1 + 10).alias("next_threshold"), F.round(F.least(F.lit(1.0), 1.10 * (k * 100.0) / (k * 100 + 5000)), 9).alias("share"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.ceil(k * 11 / 10) + 10).alias("next_threshold"), F.round(F.least(F.lit(1.0), 1.10 * (k * 100.0) / (k * 100 + 5000)), 9).alias("share"))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN o_orderkey % 4 = 0 THEN 1 - least(o_totalprice / 400000, 1) ELSE -0.5 * least(o_totalprice / 400000, 1) END, 9) AS reward FROM orders")
