@@ -67,12 +67,12 @@ def _bins() -> Column:
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cost: float = 20.0, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff): the chosen bins, for strata and rules that have one."""
-    held = counts.where(~base_failed()).join(labels.where(F.col(label).isNotNull()).select(F.col(key).alias("doc_id"), (F.col(label) > 0).alias("good")), "doc_id")
+    held = counts.where(~base_failed()).join(labels.where(F.col(label).isNotNull()).select(F.col(key).alias("doc_id"), (F.col(label) > 0).alias("good")).hint("merge"), "doc_id")
     tallied = held.select("stratum", "good", F.explode(_bins()).alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
-    strata = tallied.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))).alias("strata"))
+    strata = tallied.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))).alias("strata")).withColumn("_all", F.lit(1))
     down = Window.partitionBy("stratum", "rule").orderBy(F.desc("bin"))
     whole = Window.partitionBy("stratum", "rule")
-    at = tallied.select("stratum", "rule", "bin", F.sum("good").over(down).alias("lost"), F.sum("bad").over(down).alias("caught"), F.sum("good").over(whole).alias("n")).where("bin > 0").crossJoin(F.broadcast(strata))
+    at = tallied.select("stratum", "rule", "bin", F.sum("good").over(down).alias("lost"), F.sum("bad").over(down).alias("caught"), F.sum("good").over(whole).alias("n"), F.lit(1).alias("_all")).where("bin > 0").join(F.broadcast(strata), "_all")
     # ln of each term of the tail by the ratio to the term before, summed by log-sum-exp
     tail = F.expr(f"aggregate(sequence(0L, lost), struct(n * ln(1 - {alpha}D) AS term, CAST(0 AS DOUBLE) AS total), (s, i) -> struct(s.term + IF(i < n, ln((n - i) / (i + 1D)) + ln({alpha}D / (1 - {alpha}D)), 0D) AS term, s.total + exp(s.term) AS total), s -> s.total)")
     sound = at.where("n > 0").withColumn("tail", tail).where(F.expr(f"tail <= {delta}D / (strata * {len(RULES)} * {GRID})")).withColumn("gain", F.expr(f"caught - {cost}D * lost")).where("gain > 0")
