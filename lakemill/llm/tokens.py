@@ -17,6 +17,8 @@ import numpy as np
 
 #: Words longer than this are encoded, not kept.
 LONG = 200
+#: Characters of several texts that are split into words at once.
+AT_ONCE = 16 << 20
 
 def words_split(path: str) -> bool:
     """True if the tokenizer splits by a regex that leaves all white space out, after character-wise normalizers."""
@@ -96,8 +98,11 @@ class Encoder:
         return out | dict(zip(odd, self.whole([w.decode("utf-8", "surrogatepass") for w in odd]))) if odd else out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Full stores stay as they are until most words of a call are new."""
+        """Full stores stay as they are until most words of a call are new. Long calls go in halves, which bounds the lists of words."""
         texts = [t or "" for t in texts]
+        if len(texts) > 1 and sum(map(len, texts)) > AT_ONCE:
+            half = len(texts) // 2
+            return self.encode(texts[:half]) + self.encode(texts[half:])
         if not self.by_word:
             return self.whole(texts)
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
