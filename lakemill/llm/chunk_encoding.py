@@ -13,6 +13,7 @@ Cases: null is the empty text, without ids; texts of any length; repeated rows a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from .tokens import Encoder, encoder
 
 #: Chunks that a worker keeps.
 MOST_CHUNKS = 20_000
-_SPACE = b" \t\n\r\x0b\x0c"
+_SPACES = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]").search
 _TABLE = np.random.default_rng(20).integers(1 << 32, size=256, dtype=np.uint32)
 
 
@@ -63,24 +65,29 @@ class ChunkEncoder:
                 chunks.append(data[last:e])
                 last = e
             split.append(chunks)
-        new = list({c for chunks in split for c in chunks} - self.kept.keys())
+        needed = {c for chunks in split for c in chunks}
+        new = list(needed - self.kept.keys())
         middles, edges = [], []
         for c in new:
-            first = next((i for i, x in enumerate(c) if x in _SPACE), -1) if len(c) < 4096 else min((i for s in _SPACE if (i := c.find(bytes([s]))) >= 0), default=-1)
-            last = max(c.rfind(bytes([s])) for s in _SPACE)
-            edges.append(None if first < 0 else (c[:first], c[last + 1 :]))
-            middles.append(b"" if first < 0 else c[first : last + 1])
+            first = _SPACE(c)
+            if first is None:
+                edges.append(None)
+                middles.append(b"")
+                continue
+            last = max(c.rfind(x) for x in _SPACES)
+            edges.append((c[: first.start()], c[last + 1 :]))
+            middles.append(c[first.start() : last + 1])
         ids = self.tokens.encode([m.decode("utf-8", "surrogatepass") for m in middles])
-        if len(self.kept) + len(new) > MOST_CHUNKS:
-            self.kept = {}
-        found = {c: e and (e[0], i, e[1]) for c, e, i in zip(new, edges, ids)}
-        self.kept |= found if len(found) <= MOST_CHUNKS else {}
-        known = self.kept if len(found) <= MOST_CHUNKS else self.kept | found
+        known = {c: e and (e[0], i, e[1]) for c, e, i in zip(new, edges, ids)}
+        room = MOST_CHUNKS - len(known)
+        known |= {c: self.kept[c] for c in needed - known.keys()}
+        # a full store keeps the chunks of this batch only
+        self.kept = self.kept | known if len(self.kept) <= room else known if room >= 0 else {}
         plans, joins = [], []
         for chunks in split:
             parts, open_word = [], []
             for c in chunks:
-                x = known[c] if c in known else found[c]
+                x = known[c]
                 if x is None:
                     open_word.append(c)
                     continue

@@ -81,6 +81,11 @@ def test_words_give_the_ids_of_the_whole():
         assert e.encode(TEXTS) == [raw(ids_of(t)) for t in TEXTS]
 
 
+def test_long_calls_go_in_halves(monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 100)
+    assert tokens.Encoder(VOCABULARY).encode(TEXTS) == [raw(ids_of(t)) for t in TEXTS]
+
+
 def test_words_below_u0250():
     r = random.Random(1)
     alphabet = [chr(c) for c in range(0x21, 0x260)] + [" ", "\n", "'", "s"] * 20
@@ -107,6 +112,16 @@ def test_chunks_are_content_defined_and_whole_characters():
     assert len({e - 2 for e in shifted} & set(ends)) > 0.9 * len(ends)
 
 
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_op5_full_store(monkeypatch, most):
+    monkeypatch.setattr(chunk_encoding, "MOST_CHUNKS", most)
+    coder = chunk_encoding.ChunkEncoder(tokens.Encoder(VOCABULARY))
+    texts = [t * 3 if t else t for t in TEXTS]
+    for batch in (texts, texts[::-1], texts[5:9], texts):
+        assert coder.encode(batch) == [raw(ids_of(t)) for t in batch]
+        assert len(coder.kept) <= max(most, 0)
+
+
 def test_op3_places(docs, none):
     out = packing.best_fit_packing(docs, VOCABULARY, capacity=64).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
