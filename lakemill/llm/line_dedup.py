@@ -7,7 +7,8 @@ doubles those; the last step joins two overlapping halves to the wanted length.
 repeated runs. Of each run the first copy (smallest doc_id, then place) stays and later copies are deleted, so that a
 line goes if some run of at least `min_lines` lines that covers it has an earlier copy.
 
-DataFrame and SQL functions only. Counts are partial sums before each shuffle; a hot line is a hot key of an inner join only,
+DataFrame and SQL functions only. Both joins are sort-merge joins: the tables of runs and of deleted places grow with the corpus, and their
+compressed files look small enough to broadcast; repeated runs are a table of their own, so that adaptive execution can split the starts of a hot one. Counts are partial sums before each shuffle; a hot line is a hot key of an inner join only,
 which adaptive execution splits; no document's or line's group is gathered but the deleted places of one document.
 
 Cases: a null text stays null and has no lines; an empty text, or one of blank lines, stays as it is; blank lines are never deleted and
@@ -50,8 +51,8 @@ def _doubled(column: str, shift: int, span: int):
 def later_copies(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): the places of deleted lines, among lines with a word, sorted; documents without any are left out."""
     runs = written(line_runs(documents, min_lines, key, text), "line-names")
-    twice = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("a", "b", "first")
-    later = runs.join(twice, ["a", "b"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    twice = written(runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("a", "b", "first"), "repeated-runs")
+    later = runs.join(twice.hint("merge"), ["a", "b"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")).select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (min_lines - 1)))))).alias("gone"))
 
 
@@ -61,7 +62,7 @@ def line_dedup(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", te
     Those three names replace columns of the same name.
     """
     gone = written(later_copies(documents, min_lines, key, text), "line-runs").select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    joined = documents.join(gone, documents[key].eqNullSafe(gone["_gone_id"]), "left")
+    joined = documents.join(gone.hint("merge"), documents[key].eqNullSafe(gone["_gone_id"]), "left")
     t = "`" + text.replace("`", "``") + "`"
     lines, places = f"split({t}, '\\n', -1)", f"filter(sequence(0, size(l) - 1), i -> {_HAS.format('l[i]')})"
     # l: the lines, p: the places of those with a word; each is bound once by a one-element array
