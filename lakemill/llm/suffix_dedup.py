@@ -17,6 +17,8 @@ bytes, each a pass over everything; so it is done on segments that are aligned f
 4. An anchor with more than `most` distinct segments (many contexts around one common passage) is not gathered: its strings are counted by
    128-bit hashes, one row a string, in an aggregate with partial sums.
 
+All joins are sort-merge joins, because every table here grows with the corpus; none is broadcast.
+
 Exact but for hash equality: segments are compared by 128 bits (anchor and segment hash), everything in step 3 by bytes.
 
 Cases: a null text is empty; a text under `length` bytes loses nothing; copies in one document count, overlaps too; strings are judged on the
@@ -164,14 +166,15 @@ def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: st
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], mask=null), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "pos", "h", "s"])
 
     every = written(source.mapInArrow(find, "doc_id bigint, pos int, h bigint, s bigint"), "anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = written(every.join(twice, "h", "left_semi"), "repeated-anchors")
+    # a table of its own, so that adaptive execution can split the rows of a hot anchor in the join
+    twice = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    found = written(every.join(twice.hint("merge"), "h", "left_semi"), "repeated-anchors")
     drop(every)
     segments = written(found.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at")), "segments")
-    mixed = segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = segments.join(mixed, "h").select("h", "s", "n", "kinds", "at.doc_id", "at.pos")
+    mixed = written(segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    wanted = segments.join(mixed.hint("merge"), "h").select("h", "s", "n", "kinds", "at.doc_id", "at.pos")
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "s", (F.col("kinds") > most).alias("hot"))).alias("wanted")).withColumnRenamed("doc_id", "_id")
-    with_text = source.join(per_doc, source["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "wanted")
+    with_text = source.join(per_doc.hint("merge"), source["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "wanted")
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,12 +205,12 @@ def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: st
         each = brought.where("hot").select("h", "s", "before", "bytes").dropDuplicates(["h", "s"]).mapInArrow(strings, "h bigint, s bigint, lo int, a bigint, b bigint")
         each = written(each, "strings")
         common = each.groupBy("h", "lo", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        judged = judged.unionByName(each.join(common, ["h", "lo", "a", "b"]).groupBy("h", "s").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi")))
+        judged = judged.unionByName(each.join(common.hint("merge"), ["h", "lo", "a", "b"]).groupBy("h", "s").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi")))
     whole = segments.where("n > 1").select("h", "s", F.lit(-(length - K)).alias("lo"), F.lit(length).alias("hi"))
     once = segments.where("n = 1").select("h", "s")
-    verdicts = written(whole.unionByName(judged.join(once, ["h", "s"], "left_semi")), "verdicts")
+    verdicts = written(whole.unionByName(judged.join(once.hint("merge"), ["h", "s"], "left_semi")), "verdicts")
     drop(brought)
-    spans = found.join(verdicts, ["h", "s"]).select("doc_id", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    spans = found.join(verdicts.hint("merge"), ["h", "s"]).select("doc_id", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -216,7 +219,7 @@ def suffix_dedup(documents: DataFrame, length: int = 200, most: int = 50_000, ke
     spans = written(repeats(documents, length, most, key, text), "spans").withColumnRenamed("doc_id", "_id")
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry)
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]), "left").select("doc_id", "text", "spans", *carry)
+    joined = rows.join(spans.hint("merge"), rows["doc_id"].eqNullSafe(spans["_id"]), "left").select("doc_id", "text", "spans", *carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
