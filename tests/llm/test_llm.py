@@ -489,3 +489,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert tables[3][0]["text"] == texts[0] and tables[3][0]["n_chars"] == len(texts[0])
     assert set(tables[4]) == {0, 1, 6, 7}
     assert got(p.run(spark, str(tmp_path)), "doc_id", "piece", "ids_crc32") == got(docs, "doc_id", "piece", "ids_crc32")
+
+
+def test_pipeline_near_copies(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            copy = list(words)
+            for at in r.sample(range(150), edits):
+                copy[at] = f"edit{r.random()}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "one two", "One  two", "é é"]
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    least = list(range(len(texts)))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in alike:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {x["doc_id"] for x in p.simhash_near_dedup(spark, docs, str(tmp_path)).collect()} == set(least)
+    assert 12 < len(set(least)) < len(texts) - 20
+    assert p.simhash_near_dedup(spark, docs.limit(0), str(tmp_path)).collect() == []
