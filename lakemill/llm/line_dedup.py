@@ -5,7 +5,8 @@ of 2^k lines that starts at each line by the names of its two halves; ranks are
 order, matters here. Each round keeps the starts whose run occurs twice or more (the intervals whose common prefix is that long) and
 doubles those; the last step joins two overlapping halves to the wanted length. Consecutive repeated starts make up the maximal
 repeated runs. Of each run the first copy (smallest doc_id, then place) stays and later copies are deleted, so that a
-line goes if some run of at least `min_lines` lines that covers it has an earlier copy.
+line goes if some run of at least `min_lines` lines that covers it has an earlier copy. With `passage_words`, a line of so many words or more
+(parted by ASCII white space) is a run by itself, whatever its neighbours are.
 
 DataFrame and SQL functions only. Both joins are sort-merge joins: the tables of runs and of deleted places grow with the corpus, and their
 compressed files look small enough to broadcast; repeated runs are a table of their own, so that adaptive execution can split the starts of a hot one. Counts are partial sums before each shuffle; a hot line is a hot key of an inner join only,
@@ -27,6 +28,18 @@ _HAS = "rlike({}, '[^\\\\x20\\\\x09-\\\\x0D]')"
 _LINES = f"transform(filter(split(text, '\\\\n', -1), x -> {_HAS.format('x')}), x -> struct(xxhash64(x) AS a, xxhash64(concat(x, '#')) AS b))"
 
 
+#: Lines of a document, with the number of words of each.
+_COUNTED = _LINES.replace("AS b)", "AS b, size(filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')) AS n)")
+#: Words of a line that is a passage by itself, as the pipeline takes it.
+PASSAGE_WORDS = 50
+
+
+def passages(documents: DataFrame, passage_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pos, a, b): place and name of every line of passage_words or more; the names are none of those of runs."""
+    lines = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").select("doc_id", F.expr(_COUNTED).alias("l"))
+    return lines.select("doc_id", F.posexplode("l").alias("pos", "x")).where(F.col("x.n") >= passage_words).select("doc_id", "pos", F.xxhash64("x.a", F.lit(1)).alias("a"), F.xxhash64("x.b", F.lit(1)).alias("b"))
+
+
 def line_runs(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, a, b): start (among lines with a word) and name of every run of min_lines lines."""
     if min_lines < 1:
@@ -48,20 +61,23 @@ def _doubled(column: str, shift: int, span: int):
     return F.expr(f"zip_with(slice({column}, 1, {ahead}), slice({column}, {shift + 1}, {ahead}), (x, y) -> struct(xxhash64(x.a, y.a) AS a, xxhash64(x.b, y.b) AS b))")
 
 
-def later_copies(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def later_copies(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text", passage_words: int | None = None) -> DataFrame:
     """(doc_id, gone): the places of deleted lines, among lines with a word, sorted; documents without any are left out."""
-    runs = written(line_runs(documents, min_lines, key, text), "line-names")
+    runs = line_runs(documents, min_lines, key, text).withColumn("more", F.lit(min_lines - 1))
+    if passage_words is not None:
+        runs = runs.unionByName(passages(documents, passage_words, key, text).withColumn("more", F.lit(0)))
+    runs = written(runs, "line-names")
     twice = written(runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("a", "b", "first"), "repeated-runs")
     later = runs.join(twice.hint("merge"), ["a", "b"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")).select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (min_lines - 1)))))).alias("gone"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "more")).alias("starts")).select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["pos"], x["pos"] + x["more"]))))).alias("gone"))
 
 
-def line_dedup(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(documents: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text", passage_words: int | None = None) -> DataFrame:
     """documents with later copies of repeated runs deleted from the text, and n_lines, n_removed, n_runs (maximal deleted runs).
 
     Those three names replace columns of the same name.
     """
-    gone = written(later_copies(documents, min_lines, key, text), "line-runs").select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    gone = written(later_copies(documents, min_lines, key, text, passage_words), "line-runs").select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
     joined = documents.join(gone.hint("merge"), documents[key].eqNullSafe(gone["_gone_id"]), "left")
     t = "`" + text.replace("`", "``") + "`"
     lines, places = f"split({t}, '\\n', -1)", f"filter(sequence(0, size(l) - 1), i -> {_HAS.format('l[i]')})"

@@ -84,7 +84,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_suffix_array_dedup, op5_bpe_chunks, op6_token_files, op7_url_filters, op8_simhash, op9_exact_topk, op10_line_dedup)}
+def op10_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup with lines of a passage's length as runs by themselves."""
+    from .line_dedup import PASSAGE_WORDS, line_dedup
+
+    done = line_dedup(_table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_fit_packing, op4_suffix_array_dedup, op5_bpe_chunks, op6_token_files, op7_url_filters, op8_simhash, op9_exact_topk, op10_line_dedup, op10_line_dedup_passages)}
 
 
 SQL = {

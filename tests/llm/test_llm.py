@@ -511,6 +511,22 @@ def test_pipeline_near_copies(spark, tmp_path):
         for i, j in alike:
             least[i] = least[j] = min(least[i], least[j])
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    least = [x for x, t in zip(least, texts) if t]
     assert {x["doc_id"] for x in p.simhash_near_dedup(spark, docs, str(tmp_path)).collect()} == set(least)
     assert 12 < len(set(least)) < len(texts) - 20
     assert p.simhash_near_dedup(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_op10_passages(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    long, edge, short, pair = fresh(60), fresh(50), fresh(49), fresh(5) + "\n" + fresh(5)
+    texts = [f"{fresh(9)}\n{x}\n{fresh(9)}" for x in (long, edge, short, pair) for _ in range(3)] + [f"{fresh(9)}\n\n{long}\n{fresh(9)}\n{long}", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    gone = {1: long, 2: long, 4: edge, 5: edge, 10: pair, 11: pair}
+    want = {i: t if i not in gone else t.replace(gone[i] + "\n", "") for i, t in enumerate(texts)}
+    want[12] = "\n".join(texts[12].split("\n")[k] for k in (0, 1, 3))
+    assert {x["doc_id"]: x["text"] for x in p.line_dedup_stage(spark, docs, str(tmp_path)).collect()} == want
+    assert {x["doc_id"]: x["n_runs"] for x in line_dedup.line_dedup(docs, passage_words=50).collect() if x["n_runs"]} == dict.fromkeys(gone, 1) | {12: 2}
