@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder of spark.checkpoint.dir: what comes after does not depend on executors' disks."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,13 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Labels travel along edges and each node also takes the label of its label, so rounds grow with the logarithm of a chain's length.
     """
-    both = _cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    labels = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
+    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["u"]).select("node", "label", F.least("label", "near").alias("new"))
         jump = step.join(step.select(F.col("node").alias("_n"), F.col("new").alias("_up")), F.col("new") == F.col("_n"), "left")
-        after = _cut(jump.select("node", F.least("new", F.coalesce("_up", "new")).alias("label"), F.col("label").alias("old")))
+        after = cut(jump.select("node", F.least("new", F.coalesce("_up", "new")).alias("label"), F.col("label").alias("old")))
         changed = after.where("label <> old").limit(1).count()
         labels = after.drop("old")
         if not changed:

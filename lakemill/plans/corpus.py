@@ -11,6 +11,7 @@ from ..operators import decontam as C
 from ..operators import dedup as D
 from ..operators import graph as G
 from ..operators import select as S
+from ..operators import similar as N
 from .registry import query, table
 
 _CANON = r"trim(regexp_replace(lower(text), '[\s\x0b]+', ' ', 'g'))"
@@ -114,6 +115,22 @@ def a11_a12_component_winners(spark, sf_dir):
     return nodes.groupBy("component").agg(F.min_by("doc_id", order).alias("winner"), (F.count("*") - 1).alias("removed"))
 
 
+@query()
+def a9_a10_j15_similar_components(spark, sf_dir):
+    """Documents of one language that links of similarity 0.8 or more over 5-word shingles join: every such pair, and no other."""
+    words = F.transform(T.found(F.col("text"), T.WORD), F.lower)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w")).where("size(w) >= 5").select("doc_id", "lang", F.array_join("w", " ").alias("text"))
+    found = G.cut(N.groups(rows, lambda df, name: G.cut(df), G.connected_components, scope="lang").select("doc_id", F.col("component_id").alias("component")))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component").hint("merge"), "component", "left_semi").select("doc_id", "component")
+
+
+@query()
+def a11_a12_similar_winners(spark, sf_dir):
+    """As a11_a12_component_winners, of the components by similarity."""
+    order = F.struct(-(F.col("doc_id") % 100), -(F.col("doc_id") * 7919 % 1009), F.col("doc_id"))
+    return a9_a10_j15_similar_components(spark, sf_dir).groupBy("component").agg(F.min_by("doc_id", order).alias("winner"), (F.count("*") - 1).alias("removed"))
+
+
 @query(r"""WITH f AS (SELECT vec_id AS id, (vec_id * 40503) & 65535 | ((vec_id % 50) << 16) AS fp FROM embeddings), o AS (SELECT fp, min(id) AS id FROM f GROUP BY fp)
 SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS distance FROM o a JOIN o b ON a.id < b.id WHERE bit_count(xor(a.fp, b.fp)) <= 3""")
 def j14_simhash_bands(spark, sf_dir):
