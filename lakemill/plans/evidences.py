@@ -60,9 +60,17 @@ def t31_t33_code_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("bigint").alias("tokens"), n(lambda x: x.rlike("^[0-9]")).alias("numbers"), n(lambda x: x.rlike("^[\"']") & (F.length(x) > 1)).alias("strings"))
 
 
+@query()
+def t31_t33_code_tokens_whole(spark, sf_dir):
+    """As t31_t33_code_tokens, of whole texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.found(F.col("text"), E.CODE_TOKEN).alias("t"))
+    n = lambda p: F.size(F.filter("t", p)).cast("bigint")
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("tokens"), n(lambda x: x.rlike("^[0-9]")).alias("numbers"), n(lambda x: x.rlike("^[\"']") & (F.length(x) > 1)).alias("strings"))
+
+
 @query()
 def t32_skeletons(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(E.skeleton(F.substring("text", 1, 2000)), " ").cast("binary")).alias("skeleton"), E.looks_like_code(F.col("text")).alias("code"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(E.skeleton(F.col("text")), " ").cast("binary")).alias("skeleton"), E.looks_like_code(F.col("text")).alias("code"))
 
 
 @query(r"SELECT event_id, regexp_replace(regexp_replace('GET https://h/p?token=' || event_id || ' failed, key=' || user_id, '(https?://[^\s?]+)\?\S+', '\1?[redacted]', 'g'), '(?i)(token|key|secret)=[^\s&]+', '\1=[redacted]', 'g') AS message FROM events")

@@ -48,3 +48,13 @@ def test_similar_components(spark, copies):
     assert {x["doc_id"]: x["component"] for x in run(spark, "a9_a10_j15_similar_components", path)} == want
     won = {x["component"]: (x["winner"], x["removed"]) for x in run(spark, "a11_a12_similar_winners", path)}
     assert won == {c: (min((i for i in want if want[i] == c), key=lambda i: (-(i % 100), -(i * 7919 % 1009), i)), least.count(c) - 1) for c in set(want.values())}
+
+
+def test_whole_code_tokens_and_skeletons(spark, tmp_path):
+    base = "x = 1 \"s\" " * 300
+    spark.createDataFrame([(0, base + "foo(1)"), (1, base + "foo[1]"), (2, base + "bar(2)")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {x["doc_id"]: (x["tokens"], x["numbers"], x["strings"]) for x in run(spark, "t31_t33_code_tokens_whole", str(tmp_path))}
+    assert found == dict.fromkeys(range(3), (1204, 301, 300))
+    digests = {x["doc_id"]: x["skeleton"] for x in run(spark, "t32_skeletons", str(tmp_path))}
+    assert digests[0] == digests[2] == md5(" ".join(["<id> = <num> <str>"] * 300 + ["<id> ( <num> )"]).encode()).hexdigest()
+    assert digests[1] != digests[0]
