@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -182,3 +183,15 @@ def t46_negatives(spark, sf_dir):
 def t47_edit_distance(spark, sf_dir):
     a, b = F.substring("prompt", 1, 60), F.substring("answer", 1, 60)
     return C.pairs(table(spark, sf_dir, "conversations"), history=4).where(F.concat(a, b).rlike("^[ -~]*$")).select("conv_id", "turn", F.levenshtein(a, b).alias("distance"))
+
+
+@query()
+def t47_edit_distance_whole(spark, sf_dir):
+    """Edit distance of the whole case-folded texts of every pair."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.str.casefold()
+
+    whole = C.pairs(table(spark, sf_dir, "conversations"), history=4, most_chars=2**31 - 1)
+    return whole.select("conv_id", "turn", F.levenshtein(folded("prompt"), folded("answer")).alias("distance"))

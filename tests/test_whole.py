@@ -58,3 +58,20 @@ def test_whole_code_tokens_and_skeletons(spark, tmp_path):
     digests = {x["doc_id"]: x["skeleton"] for x in run(spark, "t32_skeletons", str(tmp_path))}
     assert digests[0] == digests[2] == md5(" ".join(["<id> = <num> <str>"] * 300 + ["<id> ( <num> )"]).encode()).hexdigest()
     assert digests[1] != digests[0]
+
+
+def test_whole_edit_distance(spark, tmp_path):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcÄßé ÐЖ語") for _ in range(n)).strip() + "x" for n in (3, 40, 90, 200, 61, 62)]
+    spark.createDataFrame([(c, t, ("user", "assistant")[t], texts[2 * c + t]) for c in range(3) for t in range(2)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    plain = [" ".join(t.split()).casefold() for t in texts]
+    assert {x["conv_id"]: x["distance"] for x in run(spark, "t47_edit_distance_whole", str(tmp_path))} == {c: distance(plain[2 * c], plain[2 * c + 1]) for c in range(3)}
