@@ -300,6 +300,14 @@ def c14_w8_shifted_labels(spark, sf_dir):
     return rows.select("doc_id", F.posexplode("w").alias("pos", "token"), "w").select("doc_id", "pos", "token", F.get("w", F.col("pos") + 1).alias("label"))
 
 
+@query()
+def c14_w8_shifted_labels_whole(spark, sf_dir):
+    """All words of each document; only its last has no label."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.found(F.col("text"), T.WORD).alias("w"))
+    both = F.arrays_zip(F.col("w").alias("token"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("label"))
+    return rows.select("doc_id", F.posexplode(both).alias("pos", "x")).select("doc_id", "pos", "x.token", "x.label")
+
+
 @query(r"""WITH d AS (SELECT source, {t} AS tokens, n_chars >= 2000 AS long FROM documents) SELECT source, sum(tokens) AS total, sum(CASE WHEN long THEN tokens ELSE 0 END) AS long_total, CAST(count(*) FILTER (long) AS BIGINT) AS long_docs FROM d GROUP BY source""".replace("{t}", _TOK))
 def a28_a29_token_totals(spark, sf_dir):
     rows = counted(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 2000).alias("long")), "doc_id")

@@ -75,3 +75,12 @@ def test_whole_edit_distance(spark, tmp_path):
 
     plain = [" ".join(t.split()).casefold() for t in texts]
     assert {x["conv_id"]: x["distance"] for x in run(spark, "t47_edit_distance_whole", str(tmp_path))} == {c: distance(plain[2 * c], plain[2 * c + 1]) for c in range(3)}
+
+
+def test_whole_labels(spark):
+    got = {(x["doc_id"], x["pos"]): (x["token"], x["label"]) for x in run(spark, "c14_w8_shifted_labels_whole")}
+    docs = {x["doc_id"]: WORD.findall(x["text"] or "") for x in rows(spark, "documents")}
+    assert {k: sum(d == k for d, _ in got) for k in list(docs)[:20]} == {k: len(docs[k]) for k in list(docs)[:20]}
+    assert len(got) == sum(map(len, docs.values()))
+    for k, words in docs.items():
+        assert not words or (got[k, len(words) - 1][1] is None and all(got[k, i][1] == words[i + 1] for i in range(len(words) - 1)))
