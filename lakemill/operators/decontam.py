@@ -1,4 +1,4 @@
-"""Benchmark decontamination: exact, contiguous run, n-gram and short rules against holdout groups."""
+"""Benchmark decontamination against holdout groups: exact, contiguous run and n-gram rules; and with code, skeleton and short n-gram rules."""
 
 from __future__ import annotations
 
@@ -7,11 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .evidence import KEYWORDS
 
 #: The holdout index is broadcast only up to this many n-grams; beyond it the join shuffles.
 MOST_BROADCAST = 2_000_000
 
 
+CODE_TOKEN = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|===|!==|==|!=|<=|>=|=>|->|::|\+\+|--|&&|\|\||<<|>>|\*\*|[{}()\[\];,.?:+\-*/%&|^~<>=!])"""
+_MARKED = r"(?m)(?:^\s*(?:def|class|function|fn|public|private|package|import|from|#include)\b|(?:assert|return|throw|raise)\s+|=>|::|\{[^}]*\}|\[[^]]*\]\s*=)"
+
+
+def is_code(text: Column) -> Column:
+    return text.rlike(_MARKED) | (T.number_of(text, "[{}();=]") >= 4)
+
+
+def _digests(tokens: Column, n: int) -> Column:
+    return F.transform(T.windows(tokens, n), lambda w: F.md5(F.array_join(w, "\0").cast("binary")))
+
+
+def code_ngrams(text: Column, n: int) -> Column:
+    """Digests of every run of n code tokens; none where the text does not look like code."""
+    return F.when(is_code(text), _digests(T.found(text, CODE_TOKEN), n)).otherwise(F.array().cast("array<string>"))
+
+
+def skeleton_ngrams(text: Column, n: int) -> Column:
+    """As code_ngrams, with names, numbers and strings replaced."""
+    kind = lambda x: F.when(F.lower(x).isin(KEYWORDS), F.lower(x)).when(x.rlike("^[A-Za-z_$]"), "<id>").when(x.rlike("^[0-9]"), "<num>").when(x.rlike("^[\"'`]"), "<str>").otherwise(x)
+    return F.when(is_code(text), _digests(F.transform(T.found(text, CODE_TOKEN), kind), n)).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(text: Column, n: int) -> Column:
     """Digests of every run of n lower-cased words, in order."""
     words = F.transform(T.found(text, T.WORD), F.lower)
@@ -43,7 +67,7 @@ def runs(docs: DataFrame, postings: DataFrame, n: int, key: str = "doc_id", text
     return hits.withColumn("island", island).groupBy(key, "group", "island").agg(F.count("*").alias("n")).groupBy(key, "group").agg(F.max("n").alias("run"))
 
 
-def contamination(docs: DataFrame, holdouts: DataFrame, n: int = 13, least: int = 2, share: float = 0.002, least_run: int = 8, short_n: int = 4, short_least: int = 2, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, holdouts: DataFrame, n: int = 13, least: int = 2, share: float = 0.002, least_run: int = 8, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
     """(key, reason) of contaminated documents: exact, then contiguous run, then n-gram."""
     exact = docs.select(key, T.canonical(F.col(text)).alias("c")).join(holdouts.select(T.canonical(F.col(text)).alias("c")).distinct(), "c", "left_semi").select(key, F.lit(0).alias("rank"))
     postings = index(holdouts, n, group=group, text=text)
@@ -54,5 +78,24 @@ def contamination(docs: DataFrame, holdouts: DataFrame, n: int = 13, least: int
     return exact.union(long).union(some).groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.get(names, F.col("rank")).alias("reason"))
 
 
+def alike(docs: DataFrame, holdouts: DataFrame, grams, n: int, least: int, share: float, key: str, text: str, group: str, most_groups: int = 32) -> DataFrame:
+    """(key) of documents that share enough distinct grams with one holdout group: least, or a share of their own."""
+    each = holdouts.select(F.col(group).alias("group"), F.explode(F.array_distinct(grams(F.col(text), n))).alias("gram")).distinct()
+    postings = each.join(each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") <= most_groups).select("gram"), "gram", "left_semi")
+    own = docs.select(key, F.array_distinct(grams(F.col(text), n)).alias("grams"))
+    hits = _joined(own.select(key, F.size("grams").alias("total"), F.explode("grams").alias("gram")), postings)
+    return hits.groupBy(key, "group", "total").agg(F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(least), F.ceil(F.col("total") * share))).select(key).distinct()
+
+
+def every_contamination(docs: DataFrame, holdouts: DataFrame, code_n: int = 12, skeleton_n: int = 16, short_n: int = 8, least: int = 2, share: float = 0.002, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
+    """(key, reason): as contamination, then code n-grams, skeleton n-grams and short n-grams; each of `least` or more matches in one group."""
+    names = ["exact", "contiguous_run", "ngram", "code_ngram", "code_skeleton_ngram", "short_ngram"]
+    found = contamination(docs, holdouts, least=least, share=share, key=key, text=text, group=group)
+    found = found.select(key, F.array_position(F.array(*map(F.lit, names)), F.col("reason")).alias("rank"))
+    for rank, (grams, n) in enumerate(((code_ngrams, code_n), (skeleton_ngrams, skeleton_n), (ngrams, short_n)), 4):
+        found = found.unionByName(alike(docs, holdouts, grams, n, least, share, key, text, group).select(key, F.lit(rank).cast("bigint").alias("rank")))
+    return found.groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.element_at(F.array(*map(F.lit, names)), F.col("rank").cast("int")).alias("reason"))
+
+
 def genealogy_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")

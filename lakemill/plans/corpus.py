@@ -161,6 +161,12 @@ def a15_j7_contamination(spark, sf_dir):
     return C.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def a15_j7_every_contamination(spark, sf_dir):
+    """a15_j7_contamination with the code, skeleton and short n-gram rules."""
+    return C.every_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _TOK = r"CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) + 1 AS BIGINT)"
 
 

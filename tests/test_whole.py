@@ -84,3 +84,19 @@ def test_whole_labels(spark):
     assert len(got) == sum(map(len, docs.values()))
     for k, words in docs.items():
         assert not words or (got[k, len(words) - 1][1] is None and all(got[k, i][1] == words[i + 1] for i in range(len(words) - 1)))
+
+
+def test_every_contamination(spark, tmp_path):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**8)}" for _ in range(n))
+    code = "def f(a, b):\n    total = a * 3 + b\n    for x in range(total):\n        if x > 7: return g(x, 'no')\n"
+    renamed = "def solve(p, q):\n    s = p * 8 + q\n    for k in range(s):\n        if k > 1: return h(k, 'yes')\n"
+    long, short = fresh(40), fresh(9)
+    docs = [(0, long), (1, fresh(50) + " " + " ".join(long.split()[:22])), (2, fresh(50) + " " + " ".join(long.split()[:15])), (3, fresh(30) + "\n" + code.replace("'no'", "'other' + z")), (4, fresh(30) + "\n" + renamed), (5, fresh(20) + " " + short + " " + fresh(20)), (6, fresh(60)), (7, None), (8, fresh(20) + " " + " ".join(short.split()[:8]) + " " + fresh(20))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, long), (1, code), (2, short)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x["doc_id"]: x["reason"] for x in run(spark, "a15_j7_every_contamination", str(tmp_path))}
+    assert got == {0: "exact", 1: "contiguous_run", 2: "ngram", 3: got[3], 4: "code_skeleton_ngram", 5: "short_ngram"}
+    assert got[3] in ("ngram", "code_ngram")
+    old = {x["doc_id"]: x["reason"] for x in run(spark, "a15_j7_contamination", str(tmp_path))}
+    assert {k: v for k, v in old.items()} == {k: got[k] for k in old} and {4, 5}.isdisjoint(old)
