@@ -1,10 +1,9 @@
-"""Line dedup: repeated runs of lines by prefix doubling over line-ID sequences.
+"""Line dedup: repeated runs of lines by hashes of neighbouring lines.
 
-A document is the sequence of its lines that hold a word (split at \\n); a line's ID is a 128-bit hash of it. Prefix doubling names the run
-of 2^k lines that starts at each line by the names of its two halves; ranks are such names, since only equality of prefixes, not their
-order, matters here. Each round keeps the starts whose run occurs twice or more (the intervals whose common prefix is that long) and
-doubles those; the last step joins two overlapping halves to the wanted length. Consecutive repeated starts make up the maximal
-repeated runs. Of each run the first copy (smallest doc_id, then place) stays and later copies are deleted, so that a
+A document is the sequence of its lines that hold a word (split at \\n); a line's ID is a 128-bit hash of it. The run of min_lines lines that
+starts at each line is named by joining the names of its halves, inside each document's array; runs with a name that occurs twice or more are
+repeated. There are no ranks, no suffix array and no intervals, since only equality of runs of that length matters here.
+Consecutive repeated starts make up the maximal repeated runs. Of each run the first copy (smallest doc_id, then place) stays and later copies are deleted, so that a
 line goes if some run of at least `min_lines` lines that covers it has an earlier copy. With `passage_words`, a line of so many words or more
 (parted by ASCII white space) is a run by itself, whatever its neighbours are.
 
