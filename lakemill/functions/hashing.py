@@ -23,6 +23,17 @@ def keyed(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *[p.cast("string") for p in parts]).cast("binary"), 256)
 
 
+def row_key(*columns: str | Column) -> tuple[Column, Column]:
+    """128 bits that name a row by these columns, as two longs of XXH64 with different seeds.
+
+    Rows that share an id, or have none, are told apart by their texts; only rows alike in all of these columns share a key. The key
+    depends on values alone, so that any scan or retry gives the same.
+    """
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    given = [x for c in named for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *given), F.xxhash64(F.lit(2), *given)
+
+
 def stable_fraction(*parts: Column) -> Column:
     """In [0, 1): the first 13 hex digits of the keyed hash."""
     return F.conv(F.substring(keyed(*parts), 1, 13), 16, 10).cast("double") / float(16**13)
