@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import slices
 
 #: Languages that a model may have; the matrix has this many rows at most.
 MOST_LANGUAGES = 1000
+#: Bytes of the matrix.
+MOST_BYTES = 1 << 28
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 #: Characters that are hashed at once.
 _AT_ONCE = 1 << 20
@@ -57,29 +59,45 @@ class Model:
     bits: int
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for t in texts:
-            if not self.languages or not t or not any(map(str.isalpha, t)):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            n = counts_of(t, self.order, self.bits)
-            seen = np.flatnonzero(n)
-            logs = self.prior + n[seen] @ self.log_p[seen]
-            best = int(logs.argmax())
-            names.append(self.languages[best])
-            scores.append(float(1 / np.exp(logs - logs[best]).sum()))
+        """The texts are rows of a sparse matrix of bucket counts, one entry an n-gram; it is multiplied by log_p in pieces of bounded size."""
+        known = [i for i, t in enumerate(texts) if self.languages and t and any(map(str.isalpha, t))]
+        logs = np.tile(self.prior, (len(known), 1))
+        most, rows, columns, held = max(1 << 12, (1 << 22) // max(1, len(self.languages))), [], [], 0
+
+        def multiply() -> None:
+            """Entries of a row lie together: gather their lines of log_p, and add up each row's."""
+            row, column = np.concatenate(rows), np.concatenate(columns)
+            for at in range(0, len(row), most):
+                r, c = row[at : at + most], column[at : at + most]
+                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                logs[r[first]] += np.add.reduceat(self.log_p[c], first, axis=0)
+
+        for j, i in enumerate(known):
+            for b in buckets_of(texts[i], self.order, self.bits):
+                rows.append(np.full(len(b), j, np.int32))
+                columns.append(b)
+                held += len(b)
+                if held >= most:
+                    multiply()
+                    rows, columns, held = [], [], 0
+        if held:
+            multiply()
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if known:
+            best = logs.argmax(axis=1)
+            for i, x, p in zip(known, best.tolist(), (1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)).tolist()):
+                names[i], scores[i] = self.languages[x], p
         return names, scores
 
 
 def fit(documents: DataFrame, learns: Column, order: int = 3, bits: int = 15, per_language: int = 3000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the rows where `learns` holds and text and language are known; about per_language rows of each language."""
-    spark = documents.sparkSession
-    small_batches(spark)
     rows = documents.where(learns & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if len(sizes) << bits + 3 > MOST_BYTES:
+        raise ValueError("the matrix is too large for the driver and to broadcast")
     if not sizes:
         return Model([], np.zeros(0), np.zeros((1 << bits, 0)), order, bits)
     languages = sorted(sizes)
@@ -87,7 +105,7 @@ def fit(documents: DataFrame, learns: Column, order: int = 3, bits: int = 15, pe
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = counts_of(t, order, bits)
                 total[name] = total[name] + n if name in total else n
@@ -105,13 +123,12 @@ def fit(documents: DataFrame, learns: Column, order: int = 3, bits: int = 15, pe
 
 def predict(documents: DataFrame, model: Model, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each document; only the text is scored."""
-    if model.log_p.nbytes > 1 << 28:
+    if model.log_p.nbytes > MOST_BYTES:
         raise ValueError("the matrix is too large to broadcast")
-    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = sent.value.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import small_batches, written
+from .shared import slices, written
 from .tokens import encoder
 
 #: Rows to a bucket of one length, about.
@@ -109,11 +109,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every document."""
-    small_batches(documents.sparkSession, 1024)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rows: list[tuple] = []
             for k, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
                 ids += end

@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("rejected_by")
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("rejected_by", "ra", "rb")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
-    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("text")
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("text", "carried")
 
 
 def op5_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,20 +96,21 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_best_
 
 
 SQL = {
-    # cutoffs: alpha 0.01, delta 0.05, cost 20, 5 rules, 50 bins; the tail is summed over the terms of the exact binomial
+    # cutoffs: alpha 0.01, delta 0.05, cost 20, 5 rules, 50 bins; a trial is a distinct text; the tail is summed over the terms of the exact binomial
     "op1_quality_rules": r"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM t WHERE len(w) >= 3),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g),
 c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE r.n > 1 GROUP BY doc_id),
-k AS (SELECT t.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(replace(t, '|', '')) AS n_bars FROM t LEFT JOIN c ON t.doc_id = c.doc_id),
+k AS (SELECT t.doc_id, lang, md5(t) AS copy, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(replace(t, '|', '')) AS n_bars FROM t LEFT JOIN c ON t.doc_id = c.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [struct_pack(rule := 'symbols', v := n_symbols / nullif(word_chars, 0)), struct_pack(rule := 'exclamations', v := n_exclaims / nullif(word_chars, 0)), struct_pack(rule := 'bars', v := n_bars / nullif(n_words, 0)), struct_pack(rule := 'repeats', v := n_repeat_words / nullif(n_words, 0)), struct_pack(rule := 'repeated_lines', v := n_dup_lines / nullif(n_lines, 0))] AS vs FROM k),
-x AS (SELECT doc_id, lang, base_failed, u.rule AS rule, CAST(least(50, floor(coalesce(50 * u.v, 0))) AS INTEGER) AS bin FROM (SELECT doc_id, lang, base_failed, unnest(vs) AS u FROM b)),
-h AS (SELECT lang, rule, bin, count(*) FILTER (quality > 0) AS good, count(*) FILTER (quality <= 0) AS bad FROM x JOIN labels ON x.doc_id = labels.doc_id WHERE NOT base_failed AND quality IS NOT NULL GROUP BY ALL),
+x AS (SELECT doc_id, lang, copy, base_failed, u.rule AS rule, CAST(least(50, floor(coalesce(50 * u.v, 0))) AS INTEGER) AS bin FROM (SELECT doc_id, lang, copy, base_failed, unnest(vs) AS u FROM b)),
+trials AS (SELECT lang, copy, rule, bin, bool_or(quality > 0) AS good FROM x JOIN labels ON x.doc_id = labels.doc_id WHERE NOT base_failed AND quality IS NOT NULL GROUP BY ALL),
+h AS (SELECT lang, rule, bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM trials GROUP BY ALL),
 a AS (SELECT lang, rule, bin, sum(good) OVER d AS lost, sum(bad) OVER d AS caught, sum(good) OVER (PARTITION BY lang, rule) AS n FROM h WINDOW d AS (PARTITION BY lang, rule ORDER BY bin DESC)),
 s AS (SELECT count(*) AS strata FROM (SELECT DISTINCT lang FROM h)),
 p AS (SELECT a.*, strata, (SELECT sum(exp(CASE WHEN i = 0 THEN a.n * ln(0.99) ELSE lgamma(a.n + 1) - lgamma(i + 1) - lgamma(a.n - i + 1) + i * ln(0.01) + (a.n - i) * ln(0.99) END)) FROM (SELECT CAST(unnest(range(0, CAST(a.lost AS BIGINT) + 1)) AS DOUBLE) AS i)) AS tail FROM a, s WHERE bin > 0 AND n > 0),
-best AS (SELECT lang, rule, arg_max(bin, struct_pack(g := caught - 20.0 * lost, b := bin)) AS cutoff FROM p WHERE tail <= 0.05 / (strata * 250) AND caught - 20.0 * lost > 0 GROUP BY lang, rule),
+best AS (SELECT lang, rule, arg_max(bin, struct_pack(g := caught - 20.0 * lost, b := bin)) AS cutoff FROM p WHERE tail <= 0.05 / (strata * 5) AND caught - 20.0 * lost > 0 GROUP BY lang, rule),
 hit AS (SELECT DISTINCT x.doc_id FROM x JOIN best ON x.lang IS NOT DISTINCT FROM best.lang AND x.rule = best.rule WHERE bin >= cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept FROM b
 """,

@@ -1,18 +1,24 @@
-"""What several of these operators need: shared scratch tables, Arrow batches, components of a graph."""
+"""What several of these operators need: shared scratch tables, slices of Arrow batches, components of a graph."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.functions.hashing import row_key  # noqa: F401
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only in local mode, where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lakemill"
@@ -28,18 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table of written() that no later result reads."""
-    path = getattr(df, "_lakemill_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later result reads."""
+    for df in tables:
+        path = getattr(df, "_lakemill_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows from now on: few, because a row may hold a text of many megabytes, but not those of the last operator."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most. Spark bounds a batch by its bytes; this bounds what is made of it in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:

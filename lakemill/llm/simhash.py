@@ -3,10 +3,15 @@
 Fingerprints that differ in at most `radius` bits differ by at most that much in the sum, over four blocks of 16 bits, of the
 differences of their bit counts. So distinct fingerprints are laid into tiles by their four bit counts, cut into blocks of about
 `block` fingerprints, and only pairs of tiles within the radius are compared, whole, with numpy exclusive-or and bit counts. Each
-compared pair of blocks gives a spanning forest of its links, not all of them, and components join those.
+compared pair of blocks gives a spanning forest of its links, not all of them. The nodes of that graph are fingerprints, so rows that
+share a doc_id are linked by nothing but their texts.
+
+`similar_groups` is the form for a similarity of shingle sets: links within the radius are candidates whose sets are compared, and the pairs
+whose fingerprints differ in more bits are found by operators.similar, so that no similar pair is lost.
 
 Cases: a null text, or one without words, has fingerprint zero and is linked like any other; copies share a fingerprint and meet
-once; a null doc_id is never a component's name unless all are null; an empty table gives an empty result; other columns are not read.
+once; rows that share a doc_id, null or not, are judged each; a null doc_id is never a component's name unless all of the component are null; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, small_batches, written
+from lakemill.operators.similar import groups
+
+from .shared import components, drop, slices, written
 
 #: Shingles whose bits are counted at once.
 _AT_ONCE = 1 << 15
@@ -43,13 +50,11 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp as a signed long of the same bits."""
-    small_batches(documents.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        for batch in slices(batches):
+            fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return documents.select(key, text).mapInArrow(run, f"doc_id {documents.schema[key].dataType.simpleString()}, fp bigint")
@@ -92,10 +97,8 @@ def links(fps: DataFrame, radius: int = 2, block: int = 1024) -> DataFrame:
     sent = blocks.select("tile", "block", F.col("fps").alias("a"), F.explode(to).alias("other")).join(tiles.select(F.col("tile").alias("other"), "blocks"), "other")
     sent = sent.select("tile", "block", "a", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block")).where("tile <> other or block <= other_block")
     pairs = sent.join(blocks.select(F.col("tile").alias("other"), F.col("block").alias("other_block"), F.col("fps").alias("b")), ["other", "other_block"])
-    small_batches(fps.sparkSession)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple[int, int]] = []
             for same, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 found += forest(a.values.to_numpy(), b.values.to_numpy(), radius, same)
@@ -104,12 +107,33 @@ def links(fps: DataFrame, radius: int = 2, block: int = 1024) -> DataFrame:
     return pairs.select((F.col("tile") == F.col("other")).__and__(F.col("block") == F.col("other_block")).alias("same"), "a", "b").mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each document: component_id is the smallest doc_id that links reach."""
-    docs = written(fingerprints(documents, key, text), "fingerprints")
+def fingerprint_components(fps: DataFrame, radius: int = 2, block: int = 1024) -> DataFrame:
+    """(node, root) of the fingerprints that have links: root is one of the component's, the same for all."""
+    return components(links(fps, radius, block).toDF("u", "v"))
+
+
+def near_duplicates(documents: DataFrame, radius: int = 2, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row: component_id is the smallest doc_id that links reach."""
+    docs = written(fingerprints(documents, size, key, text), "fingerprints")
     first = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    edges = links(first, radius)
-    named = edges.join(first.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
-    roots = components(named)
-    of_fp = first.join(roots, first["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return docs.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(first.join(fingerprint_components(first, radius).hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_fp = rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
+    return docs.join(of_fp.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ra, rb, n, kept): for each row key how many rows have it, and if it is the one that stays of its group.
+
+    Groups join rows whose sets of shingles of `size` words have a similarity of num / den or more; the smallest key, then row key, stays.
+    """
+
+    def near(fps: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b) of the sets (d, fp): each with the first of its fingerprint, and first ones along the links."""
+        first = written(fps.groupBy("fp").agg(F.min("d").alias("m")), "first-of-fingerprints")
+        same = fps.join(first.hint("merge"), "fp").where("d <> m").select(F.col("d").alias("a"), F.col("m").alias("b"))
+        linked = links(first, radius).toDF("x", "y")
+        ends = first.select(F.col("fp").alias("x"), F.col("m").alias("a")).hint("merge"), first.select(F.col("fp").alias("y"), F.col("m").alias("b")).hint("merge")
+        return same.unionByName(linked.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
+
+    return groups(documents, written, components, drop, size, num, den, key, text, near=near)

@@ -14,16 +14,16 @@ bytes, each a pass over everything; so it is done on segments that are aligned f
    All segments of a round have the same column, so the order of the whole collection's suffixes falls into one small order a column,
    and the rounds number at most 2 * length. Their columns stay in memory: a block is bounded (`most` segments), so
    no external files are needed.
-4. An anchor with more than `most` distinct segments (many contexts around one common passage) is not gathered: its strings are counted by
-   128-bit hashes, one row a string, in an aggregate with partial sums.
+4. An anchor with more than `most` distinct segments (many contexts around one common passage) would fill a task, so it is split: its strings are counted by
+   128-bit hashes, one row a string, in an aggregate with partial sums. The result is the same.
 
 All joins are sort-merge joins, because every table here grows with the corpus; none is broadcast.
 
 Exact but for hash equality: segments are compared by 128 bits (anchor and segment hash), everything in step 3 by bytes.
 
 Cases: a null text is empty; a text under `length` bytes loses nothing; copies in one document count, overlaps too; strings are judged on the
-input; rows sharing a doc_id are separate texts only if they differ, and otherwise copies of each other; extra columns are not read.
-Parts of a character left by a cut are dropped from `text` only: the digest is that of the bytes.
+input. Rows are told apart by key and text, so rows that share a key, or have none, lose only bytes of their own; rows alike in both are copies
+of each other. Extra columns are carried along if asked for, whatever their names; others are not read. Parts of a character left by a cut are dropped from `text` only: the digest is that of the bytes.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import drop, partitions, small_batches, written
+from .shared import drop, partitions, row_key, slices, written
 
 K = 32
 #: Bytes of a text that are hashed at once.
@@ -133,7 +134,7 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterat
         hit = np.flatnonzero(end)
         return pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array([rows[i][1] for i in hit], pa.int64()), pa.array((start[hit] - pad).astype(np.int32)), pa.array((end[hit] - pad).astype(np.int32))], names=["h", "s", "lo", "hi"])
 
-    for batch in batches:
+    for batch in slices(batches, 2048):
         for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if len(rows) >= block and row[0] != rows[-1][0]:
                 yield done(rows)
@@ -144,58 +145,52 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterat
 
 
 def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans): places [from, to) of covered bytes, neither sorted nor joined; documents without any are left out."""
+    """(ra, rb, spans): row key and places [from, to) of covered bytes, neither sorted nor joined; rows without any are left out."""
     if length < 2 * K:
         raise ValueError(f"length is at least {2 * K}")
     spark = documents.sparkSession
-    small_batches(spark)
-    source = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+    ra, rb = row_key(key, text)
+    source = documents.select(ra.alias("ra"), rb.alias("rb"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        digest, gap = xxhash.xxh3_64_intdigest, length - K
+        for batch in slices(batches):
             out: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for a, b, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = t.encode("utf-8", "surrogatepass")
                 places, hashes = anchors(data, length)
-                hs = hashes.view(np.int64).tolist()
-                digest, gap = xxhash.xxh3_64_intdigest, length - K
                 ss = np.array([digest(data[max(0, p - gap) : p + length], min(p, gap)) for p in places.tolist()], np.uint64).view(np.int64)
-                out.append((np.full(len(hs), -1 if k is None else k, np.int64), places, np.array(hs, np.int64), ss, np.full(len(hs), k is None)))
-            columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-            null = np.concatenate([o[4] for o in out]) if out else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], mask=null), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "pos", "h", "s"])
+                out.append((np.full(len(ss), a, np.int64), np.full(len(ss), b, np.int64), places.astype(np.int32), hashes.view(np.int64), ss))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(5)], names=["ra", "rb", "pos", "h", "s"])
 
-    every = written(source.mapInArrow(find, "doc_id bigint, pos int, h bigint, s bigint"), "anchors")
+    every = written(source.mapInArrow(find, "ra bigint, rb bigint, pos int, h bigint, s bigint"), "anchors")
     # a table of its own, so that adaptive execution can split the rows of a hot anchor in the join
     twice = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
     found = written(every.join(twice.hint("merge"), "h", "left_semi"), "repeated-anchors")
     drop(every)
-    segments = written(found.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at")), "segments")
+    segments = written(found.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("ra", "rb", "pos")).alias("at")), "segments")
     mixed = written(segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    wanted = segments.join(mixed.hint("merge"), "h").select("h", "s", "n", "kinds", "at.doc_id", "at.pos")
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "s", (F.col("kinds") > most).alias("hot"))).alias("wanted")).withColumnRenamed("doc_id", "_id")
-    with_text = source.join(per_doc.hint("merge"), source["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "wanted")
+    wanted = segments.join(mixed.hint("merge"), "h").select("h", "s", "n", "kinds", "at.ra", "at.rb", "at.pos")
+    per_row = wanted.groupBy("ra", "rb").agg(F.collect_list(F.struct("pos", "h", "s", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
+    with_text = source.join(per_row.hint("merge"), ["ra", "rb"]).select("text", "wanted")
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = t.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     left, own = segment(data, w["pos"], length)
-                    # rows that share a doc_id each get all its places; only the one with that very segment answers
-                    if xxhash.xxh3_64_intdigest(own, left) == w["s"] % (1 << 64):
-                        out.append((w["h"], w["s"], left, own, w["hot"]))
+                    out.append((w["h"], w["s"], left, own, w["hot"]))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["h", "s", "before", "bytes", "hot"])
 
     brought = written(with_text.mapInArrow(bring, "h bigint, s bigint, before int, bytes binary, hot boolean"), "segment-bytes")
-    small_batches(spark, 2048)
     even = brought.where("not hot").select("h", "s", "before", "bytes").dropDuplicates(["h", "s"]).repartition(partitions(spark), "h").sortWithinPartitions("h")
     judged = even.mapInArrow(lambda b: _judge(b, length, 4096), "h bigint, s bigint, lo int, hi int")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for h, s, before, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 n = max(0, len(data) - length + 1)
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
@@ -209,20 +204,21 @@ def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: st
     whole = segments.where("n > 1").select("h", "s", F.lit(-(length - K)).alias("lo"), F.lit(length).alias("hi"))
     once = segments.where("n = 1").select("h", "s")
     verdicts = written(whole.unionByName(judged.join(once.hint("merge"), ["h", "s"], "left_semi")), "verdicts")
-    drop(brought)
-    spans = found.join(verdicts.hint("merge"), ["h", "s"]).select("doc_id", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = found.join(verdicts.hint("merge"), ["h", "s"]).select("ra", "rb", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    out = written(spans.groupBy("ra", "rb").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    drop(twice, found, segments, mixed, brought, verdicts)
+    return out
 
 
 def suffix_dedup(documents: DataFrame, length: int = 200, most: int = 50_000, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, and the columns to carry along): text without the covered bytes."""
-    spans = written(repeats(documents, length, most, key, text), "spans").withColumnRenamed("doc_id", "_id")
-    small_batches(documents.sparkSession)
-    rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry)
-    joined = rows.join(spans.hint("merge"), rows["doc_id"].eqNullSafe(spans["_id"]), "left").select("doc_id", "text", "spans", *carry)
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, and a struct `carried` of the columns to carry along): text without the covered bytes."""
+    spans = repeats(documents, length, most, key, text)
+    ra, rb = row_key(key, text)
+    rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])).alias("carried"), ra.alias("ra"), rb.alias("rb"))
+    joined = rows.join(spans.hint("merge"), ["ra", "rb"], "left").select("doc_id", "text", "spans", "carried")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data, parts, at, removed, n = (t or "").encode("utf-8", "surrogatepass"), [], 0, 0, 0
@@ -239,7 +235,7 @@ def suffix_dedup(documents: DataFrame, length: int = 200, most: int = 50_000, ke
                 left = b"".join(parts)
                 out.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), t if t is None else left.decode("utf-8", "ignore")))
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carried"])
 
-    kind = documents.schema[key].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string" + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in carry))
+    made = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField(c, StringType()) for c in ("kept_sha256", "text")]
+    return joined.mapInArrow(cut, StructType([joined.schema["doc_id"], *made, joined.schema["carried"]]))

@@ -1,14 +1,16 @@
 """Token ids on disk: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
 A block holds documents in ascending doc_id order: for each its doc_id and number of ids, then the ranks of all ids, coded by four to
-a control byte (two bits each: 1 to 4 data bytes) with the data bytes apart, little-endian. Blocks are rows of a Parquet table in
-the shared folder, so that Spark's commit protocol guards them against lost executors. Rank 0 is the most frequent id.
+a control byte (two bits each: 1 to 4 data bytes) with the data bytes apart, little-endian. Rank 0 is the most frequent id. A folder holds
+blocks, as rows of a Parquet table, and ranks, the id of each rank; Spark's commit protocol guards both against lost executors, and any session reads them back.
 
-Cases: null and empty texts hold the end id alone; repeated doc_ids follow each other in no set order; a null doc_id comes first.
+Cases: null and empty texts hold the end id alone; rows that share a doc_id follow each other in the order of a hash of their texts, rows alike
+in both in any; a null doc_id comes first; an empty table gives empty files.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, partitions, small_batches, written
+from .shared import drop, partitions, row_key, scratch_dir, slices, written
 from .tokens import encoder
 
 #: Ids to a block, more only where one document has more.
 BLOCK = 1 << 18
+BLOCKS = "part int, before bigint, keys array<bigint>, sizes array<bigint>, control binary, data binary"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
@@ -52,18 +55,17 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_token_files(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Writes blocks in ascending order of key; returns (their table, the id of each rank).
+def write_token_files(documents: DataFrame, path: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text") -> str:
+    """Writes blocks in ascending order of key, and ranks; returns their folder, one of the shared scratch folder's own if none is given.
 
     The documents are dealt out by ranges of the key, so only texts cross the network, once; ids are counted over the whole
     corpus (one row a distinct id and task), and the ranking, as long as the vocabulary, is broadcast.
     """
     spark = documents.sparkSession
-    small_batches(spark, 1024)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1024):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in tokens.encode(batch.column(1).to_pylist())], pa.large_binary())], names=["k", "ids"])
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +90,7 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, key: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 32):
             for wide, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 here = np.bincount(np.frombuffer(raw, "<u4" if wide else "<u2"))
                 if len(here) > len(total):
@@ -97,9 +99,9 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, key: str = "
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    ordered = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(partitions(spark), "k").sortWithinPartitions("k")
+    # the text's hash orders rows that share a key, and parts them into ranges
+    ordered = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), row_key(text)[0].alias("tie")).repartitionByRange(partitions(spark), "k", "tie").sortWithinPartitions("k", "tie")
     raw = written(ordered.mapInArrow(narrow, "part int, before bigint, keys array<bigint>, sizes array<bigint>, wide boolean, raw binary"), "ids")
-    small_batches(spark, 32)
     counts = raw.select("wide", "raw").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
@@ -107,22 +109,33 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, key: str = "
     sent = spark.sparkContext.broadcast(rank)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8):
             packed = [pack_ranks(sent.value[np.frombuffer(ids, "<u4" if wide else "<u2")]) for wide, ids in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], names=["part", "before", "keys", "sizes", "control", "data"])
 
-    small_batches(spark, 8)
-    files = written(raw.mapInArrow(pack, "part int, before bigint, keys array<bigint>, sizes array<bigint>, control binary, data binary"), "token-files")
+    folder = folder or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    raw.mapInArrow(pack, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    table = pa.table({"rank": pa.array(np.arange(len(by_rank))), "id": pa.array(by_rank.astype(np.int64))})
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{folder}/ranks")
     drop(raw)
-    return files, by_rank
+    return folder
 
 
-def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
+def open_token_files(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """(blocks, id of each rank). There are as many ranks as the vocabulary has ids at most, so the driver may hold them."""
+    ranks = spark.read.schema("rank bigint, id bigint").parquet(f"{folder}/ranks").toArrow()
+    by_rank = np.zeros(ranks.num_rows, np.uint32)
+    by_rank[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), by_rank
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document, ids as little-endian unsigned 32-bit integers."""
-    sent = files.sparkSession.sparkContext.broadcast(by_rank)
+    files, by_rank = open_token_files(spark, folder)
+    sent = spark.sparkContext.broadcast(by_rank)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8):
             for keys, sizes, control, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids = sent.value[unpack_ranks(control, data, sum(sizes))].astype("<u4")
                 ends = np.cumsum(sizes).tolist()
@@ -137,7 +150,7 @@ def token_digests(documents: DataFrame, path: str, end_id: int = 1) -> DataFrame
     A block says how many ids of its range of keys come first; the driver adds up one number a range.
     """
     spark: SparkSession = documents.sparkSession
-    files, by_rank = write_token_files(documents, path, end_id)
+    files, by_rank = open_token_files(spark, write_token_files(documents, path, end_id))
     ranges = files.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     base, at = {}, 0
     for r in ranges:
@@ -147,7 +160,7 @@ def token_digests(documents: DataFrame, path: str, end_id: int = 1) -> DataFrame
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, by_rank = sent.value
-        for batch in batches:
+        for batch in slices(batches, 8):
             for part, before, keys, sizes, control, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 ids = by_rank[unpack_ranks(control, data, sum(sizes))].astype("<u4")
                 ends = np.cumsum(sizes)

@@ -7,6 +7,7 @@ wins. Repeated rows are judged each; other columns of the input are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """Nodes are dicts: host labels from the right, then under the key None the path segments; under "" + bool the ends."""
+    """Nodes are dicts: host labels from the right, then under PATH the path segments; under ENDS, by length, the beginnings of a segment that end a rule."""
 
     PATH, ENDS = object(), object()
 
@@ -46,7 +47,7 @@ class Trie:
             *whole, begun = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(self.ENDS, {})
+            ends = node.setdefault(self.ENDS, {}).setdefault(len(begun), {})
             found = (len(host) + len(path), verdict == "block", host + path, verdict)
             ends[begun] = max(found, ends.get(begun, found))
 
@@ -61,21 +62,29 @@ class Trie:
             for segment in segments:
                 if at is None:
                     break
-                for begun, found in at.get(self.ENDS, {}).items():
-                    if segment.startswith(begun) and (best is None or found > best):
+                for length, ends in at.get(self.ENDS, {}).items():
+                    found = ends.get(segment[:length])
+                    if found is not None and (best is None or found > best):
                         best = found
                 at = at.get(segment)
         return best and best[2:]
 
 
+#: The trie that this worker has built, by the name of its rules.
+_tries: dict[str, Trie] = {}
+
+
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict) of every row of pages."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are broadcast")
-    sent = pages.sparkSession.sparkContext.broadcast(list(rules))
+    sent, name = pages.sparkSession.sparkContext.broadcast(list(rules)), uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value)
+        if name not in _tries:
+            _tries.clear()
+            _tries[name] = Trie(sent.value)
+        trie = _tries[name]
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [trie.match(*x) if x[0] else None for x in split]

@@ -180,8 +180,10 @@ def test_op6_files(docs, none):
 
 
 def test_op6_texts_come_back(docs):
-    files, by_rank = token_files.write_token_files(docs, VOCABULARY, 1)
-    back = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(files, by_rank).collect()}
+    folder = token_files.write_token_files(docs, VOCABULARY, 1)
+    # another session has nothing but the folder
+    back = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(docs.sparkSession.newSession(), folder).collect()}
+    by_rank = token_files.open_token_files(docs.sparkSession, folder)[1]
     assert back == {i: raw([*ids_of(t), 1]) for i, t in enumerate(TEXTS)}
     counts = Counter(x for t in TEXTS for x in [*ids_of(t), 1])
     assert [counts[x] for x in by_rank.tolist()] == sorted(counts.values(), reverse=True)
@@ -234,15 +236,45 @@ def test_op1_cutoffs_are_certified(spark):
 
 
 def test_op1_exact_tail(spark):
-    counts = spark.createDataFrame([(i, "en", 100, 100, 90 if i < 20 else 10 if i < 23 else 0, 0, 0, 1, 0, 0) for i in range(1023)], "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_exclaims long, n_bars long")
-    labels = spark.createDataFrame([(i, int(i >= 20)) for i in range(1023)], "doc_id long, quality int")
-    n, lost, alpha = 1003, 3, 0.01
+    value = lambda i: 90 if i < 20 else 10 if i < 54 else 0
+    bad = lambda i: i < 20 or 24 <= i < 54
+    counts = spark.createDataFrame([(i, i, i, "en", 100, 100, value(i), 0, 0, 1, 0, 0) for i in range(1023)], "doc_id long, ta long, tb long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_exclaims long, n_bars long")
+    labels = spark.createDataFrame([(i, int(not bad(i))) for i in range(1023)], "doc_id long, quality int")
+    n, lost, alpha = 1023 - 50, 4, 0.01
     tail = sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(lost + 1))
-    assert tail > 0.05 / (5 * quality_rules.GRID)
-    assert [tuple(r) for r in quality_rules.cutoffs(counts, labels).collect()] == [("en", "symbols", 45)]
-    assert tail < 0.05 / 4
-    loose = quality_rules.cutoffs(counts, labels, delta=tail * 5 * quality_rules.GRID * 1.001, cost=1.0).collect()
-    assert loose[0]["cutoff"] == 45  # the lower one costs three good documents and catches no more
+    # five rules in one stratum share delta; the lower cutoff loses four good documents and catches thirty more bad ones
+    for delta, cutoff in ((tail * 5 * 0.999, 45), (tail * 5 * 1.001, 5)):
+        assert [tuple(r) for r in quality_rules.cutoffs(counts, labels, delta=delta, cost=1.0).collect()] == [("en", "symbols", cutoff)]
+    assert quality_rules.cutoffs(counts, labels, delta=tail * 5 * 1.001, cost=20.0).first()["cutoff"] == 45
+
+
+def test_op1_copies_are_one_trial(spark):
+    r = random.Random(3)
+    good = [" ".join(f"a{r.randrange(10**6)}" for _ in range(80)) for _ in range(300)]
+    bad = [t.replace(" ", "%%% ") for t in good[:100]]
+    texts = good * 4 + bad
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i in range(1300)] * 2, "doc_id long, quality int")
+    # 1200 good documents would certify a cutoff, 300 different texts do not: 0.99 ** 300 > 0.05 / 5 > 0.99 ** 1200
+    assert all(x["kept"] for x in quality_rules.quality_rules(docs, labels).collect())
+
+
+def test_op1_query_with_certified_cutoffs(spark, tmp_path):
+    r = random.Random(9)
+    good = [" ".join(f"a{r.randrange(10**6)}" for _ in range(80)) for _ in range(800)]
+    texts = good + [t.replace(" ", "%%% ") for t in good[:90]] + [t + " !!!" * 40 for t in good[:70]]
+    data = [(i, t, "en" if i < 900 or i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 800), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    a, b = both(spark, con, queries.op1_quality_rules, queries.SQL["op1_quality_rules"], str(tmp_path))
+    assert a == b
+    kept = {x["doc_id"]: x["kept"] for x in queries.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(kept[i] for i in range(800)) and not any(kept[i] for i in range(800, 890)) and 0 < sum(kept[i] for i in range(890, 960)) < 70
 
 
 # op2
@@ -432,9 +464,10 @@ def test_op9_trees_skip_but_lose_nothing():
     x = np.floor(256 * (r.normal(size=(3000, 8)) + 4 * r.integers(-3, 4, (3000, 1))))
     ids = r.permutation(3000).astype(np.int64)
     best = topk.Best(50, 5)
-    topk.visit(topk.tree(x, np.arange(3000)), np.arange(50), x[:50], np.sqrt((x[:50] ** 2).sum(axis=1)), ids[:50], x, ids, best)
+    rows = np.arange(3000)
+    topk.visit(topk.tree(x, rows), np.arange(50), x[:50], np.sqrt((x[:50] ** 2).sum(axis=1)), rows[:50], x, ids, rows, best)
     for k in range(50):
-        order = sorted((-s, i) for s, i in zip((x @ x[k]).tolist(), ids.tolist()) if i != ids[k])[:5]
+        order = sorted((-int(s), i) for s, i in zip((x @ x[k]).tolist(), ids.tolist()) if i != ids[k])[:5]
         assert list(zip((-best.score[k]).tolist(), best.id[k].tolist())) == order
 
 
@@ -464,9 +497,154 @@ def test_op10_brute_force(spark, none, size):
     assert line_dedup.line_dedup(none, size).collect() == []
 
 
+# rows that share an id, or have none, and rows alike in all columns
+
+_s = random.Random(21)
+_line = lambda n: " ".join("".join(_s.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+_passage, _lines = _line(60), [_line(12) for _ in range(4)]
+SHARED = [
+    (1, _line(100)), (1, f"{_line(40)} {_passage} {_line(40)}"), (None, _line(90)), (None, f"{_passage} {_line(30)}"), (None, "\n".join(_lines)), (1, "\n".join(["head", *_lines])),
+    (2, "\n".join(_line(9) for _ in range(4))), (2, "\n".join([*_lines[:2], _line(9)])), (5, _line(120)), (5, _line(120)), (7, "alike " + _line(50)), (None, None), (None, ""), (1, None),
+]
+SHARED += [SHARED[10], SHARED[10], SHARED[4]]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _id long, _gone long, _gone_id long, spans long, n_bytes long, kept_sha256 long, n_removed long, n_spans long, ra long, rb long, gone long, row long, carried long, t long, k long, a long, h long, id long, d long"
+
+
+@pytest.fixture(scope="module")
+def clash(spark):
+    return spark.createDataFrame([(i, t, "en", "s", 0, *range(100, 119)) for i, t in SHARED], CLASH).repartition(3)
+
+
+def test_shared_ids_op4(clash):
+    want = sorted(((i, *x) for (i, _), x in zip(SHARED, brute_repeats([t for _, t in SHARED], 200))), key=str)
+    out = suffix_dedup.suffix_dedup(clash, carry=("spans", "n_bytes", "carried", "ra"))
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert {tuple(r["carried"]) for r in out.collect()} == {(103, 104, 112, 108)}
+
+
+def test_shared_ids_op8(clash):
+    fps = [fingerprint_by_hand(t) for _, t in SHARED]
+    parent = groups_by_hand(fps, range(len(fps)), 2)
+    want = [(i, f"{f:016x}", min((SHARED[j][0] for j, p in enumerate(parent) if p == g and SHARED[j][0] is not None), default=None)) for (i, _), f, g in zip(SHARED, fps, parent)]
+    assert got(simhash.near_duplicates(clash), "doc_id", "fingerprint", "component_id") == sorted(want, key=str)
+
+
+def test_shared_ids_op9(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LANE", 3)
+    data = [(50, [1.0, 0.0]), (50, [0.5, 0.5]), (7, [1.0, 1.0]), (None, [9.0, 9.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (9, [1e30, -1e30]), (8, [1e30, 1e30]), (150, [-3e30, 2e29]), (11, [3e37, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    sound = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(data) if i is not None]
+    want = []
+    for n, i, q in sound:
+        if i % 50 == 0:
+            scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for m, j, v in sound if m != n)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    assert got(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+
+
+def runs_by_hand(rows_, size, words):
+    """The kept texts: rows alike in id and text are one document; documents in order of id and row key."""
+    has = lambda x: bool(x.strip(" \t\n\x0b\x0c\r"))
+    seen, kept = set(), {}
+    for i, t in rows_:
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if has(x)]
+        gone = set()
+        for p in range(len(at)):
+            for n in {size, *([1] if words and len(lines[at[p]].split()) >= words else [])}:
+                if p + n <= len(at):
+                    run = (n, *(lines[k] for k in at[p : p + n]))
+                    if run in seen:
+                        gone |= set(range(p, p + n))
+                    seen.add(run)
+        out = {at[p] for p in gone}
+        kept[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in out)
+    return kept
+
+
+@pytest.mark.parametrize("words", [None, 12])
+def test_shared_ids_op10(spark, clash, words):
+    ra, rb = shared.row_key("doc_id", "text")
+    distinct = clash.where("text IS NOT NULL").select("doc_id", "text", ra.alias("x"), rb.alias("y")).distinct().orderBy(F.struct("doc_id", "x", "y")).collect()
+    kept = runs_by_hand([(r[0], r[1]) for r in distinct], 2, words)
+    want = sorted(((i, None if t is None else kept[i, t], 101) for i, t in SHARED), key=str)
+    assert got(line_dedup.line_dedup(clash, passage_words=words), "doc_id", "text", "_gone") == want
+
+
+def test_op10_intervals(spark):
+    """The rounds hold the places whose lines occur elsewhere too, ranked in the order of the suffix array."""
+    r = random.Random(2)
+    texts = ["\n".join(r.choice("abc") for _ in range(r.randrange(1, 30))) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    name = {c: x for c, x in df.limit(1).select(*[F.struct(F.xxhash64(F.lit(1), F.lit(c)), F.xxhash64(F.lit(2), F.lit(c))).alias(c) for c in "abc"]).first().asDict().items()}
+    lengths = []
+    for length, places in line_dedup.rounds(df, 3):
+        lengths.append(length)
+        runs = {(i, p): tuple(name[x] for x in t.split("\n")[p : p + length]) for i, t in enumerate(texts) for p in range(len(t.split("\n")) - length + 1)}
+        count = Counter(runs.values())
+        rows_ = places.collect()
+        assert {(x["k"], x["pos"]) for x in rows_} == {at for at, run in runs.items() if count[run] > 1}
+        ordered = sorted((x["rank"], runs[x["k"], x["pos"]]) for x in rows_)
+        assert [run for _, run in ordered] == sorted(run for _, run in ordered) and len(set(ordered)) == len({run for _, run in ordered}) == len({rank for rank, _ in ordered})
+        assert all(x["later"] == ((x["k"], x["pos"]) != min(at for at, run in runs.items() if run == runs[x["k"], x["pos"]])) for x in rows_)
+    assert lengths[:4] == [1, 2, 3, 4] and not rows_
+
+
 # pipeline
 
 
+def test_pipeline_shared_ids(spark, clash, tmp_path):
+    import corpus_pipeline as p
+
+    for name, rows_ in (("full", clash), ("none", clash.limit(0))):
+        rows_.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        columns = docs.columns
+        for stage, f in p.STAGES:
+            docs = shared.written(f(spark, docs, str(tmp_path / name)), "stage")
+            assert stage == p.STAGES[-1][0] or docs.columns == columns
+            if name == "full" and stage == "quality rules":
+                assert Counter(r["text"] for r in docs.collect()) == Counter(t for _, t in SHARED if t and counts_by_hand(t)[0] >= 50 and 2 * counts_by_hand(t)[4] <= counts_by_hand(t)[0])
+            if name == "full" and stage == "SimHash near-dedup":
+                assert sorted(r["text"][:20] for r in docs.collect()) == sorted({t[:20] for t in (t for _, t in SHARED) if t and len(t.split()) >= 50 and not t.startswith(_lines[0])} - {SHARED[5][1][:20]} | {x["text"][:20] for x in docs.where(F.col("text").contains(_lines[2])).collect()})
+                assert docs.where(F.col("text").contains(_lines[2])).count() <= 1 and docs.where("doc_id = 7").count() == 1
+        assert (name == "full") == (not docs.isEmpty())
+
+
+def test_similar_groups_in_tiles(spark, monkeypatch):
+    """A large group of near copies with an original, most of them similar to it alone, compared in tiles as by brute force."""
+    from lakemill.operators import similar
+
+    monkeypatch.setattr(similar, "MANY", 4)
+    monkeypatch.setattr(similar, "TILE", 8)
+    monkeypatch.setattr(similar, "COLUMNS", 64)
+    r = random.Random(13)
+    texts = []
+    for n in (150, 60, 20):
+        base = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+        for _ in range(60):
+            copy = list(base)
+            for at in r.sample(range(n), r.randrange(8)):
+                copy[at] = f"edit{r.random()}"
+            texts.append(" ".join(copy[: r.randrange(n - 8, n + 1)]))
+    r.shuffle(texts)
+    sets = [frozenset(similar.shingles(t, None, 5).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        before = list(least)
+        for i in range(len(texts)):
+            for j in range(i):
+                if least[i] != least[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = simhash.similar_groups(docs).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in out) == sorted(enumerate(least))
+    assert {x["doc_id"] for x in out if x["kept"]} == set(least) and 20 < len(set(least)) < 150
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
