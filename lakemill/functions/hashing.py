@@ -58,38 +58,35 @@ def md5_minhash(shingles: Column, seeds: int) -> Column:
     return bound(shingles, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda k: F.array_min(F.transform(x, lambda s: F.md5(F.concat(k.cast("string"), F.lit(":"), s).cast("binary")))))).otherwise(F.array().cast("array<string>")))
 
 
+def short_hash(text: Column) -> Column:
+    """The leading 32 bits of md5 as a whole number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def affine_minhash(size: int = 5, permutations: int = 128, seed: int = 16062026):
-    """A UDF from arrays of words to `permutations` minima of a * h + b modulo 2^61 - 1 over shingles of `size` words; empty without shingles."""
+    """A UDF from arrays of words to `permutations` minima of (a h + b, modulo 2^64) modulo 2^61 - 1 over shingles of `size` words; empty without shingles.
+
+    A shingle's hash h is the 64-bit BLAKE2b of its words, each behind its length in 8 bytes; coefficients come from the legacy generator of the seed,
+    so that signatures are those of existing indexes.
+    """
     prime = (1 << 61) - 1
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, prime, permutations, dtype=np.uint64).tolist()
-    b = rng.integers(0, prime, permutations, dtype=np.uint64).tolist()
+    rng = np.random.RandomState(seed)
+    a = rng.randint(1, prime, size=permutations, dtype=np.uint64)
+    b = rng.randint(0, prime, size=permutations, dtype=np.uint64)
 
     @F.pandas_udf(ArrayType(LongType()))
     def signature(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
-        # (a * h) mod p by 32-bit halves: h < 2^32, so a's halves times h stay below 2^64
-        low, high = np.array(a, np.uint64) & np.uint64(0xFFFFFFFF), np.array(a, np.uint64) >> np.uint64(32)
-        add, p = np.array(b, np.uint64), np.uint64(prime)
-
-        def mod(x):
-            x = (x & p) + (x >> np.uint64(61))
-            return np.where(x >= p, x - p, x)
+        import hashlib
 
         def one(words):
-            shingles = {"\x1f".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words is not None else ()
-            if not shingles:
+            coded = [len(w).to_bytes(8, "little") + w for w in (x.encode("utf-8", "surrogatepass") for x in (words if words is not None else ()))]
+            hashes = [int.from_bytes(hashlib.blake2b(b"".join(coded[i : i + size]), digest_size=8).digest(), "little") for i in range(len(coded) - size + 1)]
+            if not hashes:
                 return []
-            h = np.array([xxhash.xxh32_intdigest(s) for s in shingles], np.uint64)
-            out = np.full(len(add), prime, np.uint64)
+            least, h = np.full(permutations, np.iinfo(np.uint64).max, np.uint64), np.array(hashes, np.uint64)
             for at in range(0, len(h), 4096):
-                x = h[at : at + 4096, None]
-                top = mod(high * x)
-                # top * 2^32 mod p: rotate within 61 bits
-                top = ((top << np.uint64(32)) & p) + (top >> np.uint64(29))
-                out = np.minimum(out, mod(mod(top) + mod(low * x) + add).min(axis=0))
-            return out.astype(np.int64).tolist()
+                least = np.minimum(least, ((h[at : at + 4096, None] * a + b) % np.uint64(prime)).min(axis=0))
+            return least.astype(np.int64).tolist()
 
         for part in parts:
             yield part.map(one)

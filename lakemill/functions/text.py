@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
-QUALITY_WORD = r"[\p{L}\p{N}_'-]+"
+#: Letters, digits, apostrophes and hyphens, with a letter or digit at either end.
+QUALITY_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SPACED_TOKEN = r"\s+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
+# Characters that end a line, and those that are white space beside them.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
+BLANKS = r"\t\x1f\x20\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+#: Line ends with the white space around them, and white space at the ends of the text.
+EDGES = f"^[{BLANKS}{LINE_ENDS}]+|[{BLANKS}]*[{LINE_ENDS}][{BLANKS}{LINE_ENDS}]*|[{BLANKS}{LINE_ENDS}]+$"
+
 # What counts as a secret, a contact or boilerplate must agree with existing corpora.
 SECRETS = {
-    "private_key": r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "forge_token": r"\b(ghp|github_pat)_[A-Za-z0-9_]{20,}\b",
+    "forge_token": r"\b(?:ghp|github_pat)_[A-Za-z0-9_]{20,}\b",
     "service_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
 }
 PHONE_PUNCTUATED = r"(?:\+1[-. ]?)?(?:\(\d{3}\)[-. ]?|\d{3}[-.])\d{3}[-.]\d{4}\b"
@@ -58,12 +65,15 @@ def symbol_chars(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Stripped, without blank ones."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.split(F.regexp_replace(text, EDGES, "\n"), "\n"), lambda x: x != "")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{BLANKS}{LINE_ENDS}]+|[{BLANKS}{LINE_ENDS}]+$", "")
 
 
 def repeated_line_fraction(text: Column) -> Column:
-    own = lines(text)
-    return F.when(F.size(own) > 0, 1 - F.size(F.array_distinct(own)) / F.size(own)).otherwise(0.0)
+    return bound(lines(text), lambda own: F.when(F.size(own) > 0, 1 - F.size(F.array_distinct(own)) / F.size(own)).otherwise(0.0))
 
 
 def canonical(text: Column) -> Column:
@@ -150,7 +160,14 @@ def cleaned(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Unix newlines, single spaces, at most one blank line, stripped."""
+    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]{2,}", " ")
+    return stripped(F.regexp_replace(t, "\n{3,}", "\n\n"))
+
+
+def collapsed_sql(name: str) -> str:
+    """collapsed in DuckDB's words."""
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({name}, '\\r\\n?', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[{BLANKS}{LINE_ENDS}]+|[{BLANKS}{LINE_ENDS}]+$', '', 'g')"
 
 
 def alpha_ratio(text: Column) -> Column:
@@ -183,19 +200,24 @@ def role(name: Column) -> Column:
     return F.when(r.isin("human", "user"), "user").when(r.isin("gpt", "assistant", "model"), "assistant").otherwise(r)
 
 
+# Weights and scales of the document quality score.
+QUALITY = {"length": 0.20, "letters": 0.25, "lines": 0.20, "urls": 0.15, "decoding": 0.20, "full_length": 2000.0, "letters_from": 0.30, "letters_span": 0.35, "urls_per_100_words": 4.0, "broken_factor": 250.0}
+
+
 def document_quality(text: Column) -> Column:
     """Five weighted components: length, letters, distinct lines, few URLs, clean decoding."""
+    k = QUALITY
     n = F.length(text)
     words = number_of(text, QUALITY_WORD)
     urls = number_of(text, r"(?i)https?://\S+")
     broken = n - without(text, "[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     parts = [
-        (0.20, F.least(F.lit(1.0), F.sqrt(n / 2000.0))),
-        (0.25, unit((fraction(alpha_chars(text), n) - 0.30) / 0.35)),
-        (0.20, F.greatest(F.lit(0.0), 1 - repeated_line_fraction(text))),
-        (0.15, F.greatest(F.lit(0.0), 1 - fraction(urls * 100.0, words) / 4.0)),
-        (0.20, F.greatest(F.lit(0.0), 1 - fraction(broken, n) * 250.0)),
+        (k["length"], F.least(F.lit(1.0), F.sqrt(n / k["full_length"]))),
+        (k["letters"], unit((fraction(alpha_chars(text), n) - k["letters_from"]) / k["letters_span"])),
+        (k["lines"], F.greatest(F.lit(0.0), 1 - repeated_line_fraction(text))),
+        (k["urls"], F.greatest(F.lit(0.0), 1 - fraction(urls * 100.0, words) / k["urls_per_100_words"])),
+        (k["decoding"], F.greatest(F.lit(0.0), 1 - fraction(broken, n) * k["broken_factor"])),
     ]
     total = parts[0][1] * parts[0][0]
     for weight, x in parts[1:]:
@@ -203,38 +225,113 @@ def document_quality(text: Column) -> Column:
     return unit(total)
 
 
-# Function words by which English is told.
-ENGLISH_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "not", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "which", "with"]
+# Function words by which English is told, and the weights and bounds of its score.
+ENGLISH_WORDS = """a about after all also an and are as at be because been before between both but by can could do does each for from had has have
+how if in into is it may more not of on one or other should such than that the their then there these this those to two use used was we were which will with would""".split()
+ENGLISH_WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
+ENGLISH = {"script_weight": 0.50, "vocabulary_weight": 0.30, "frequency_weight": 0.20, "latin_share": 0.985, "most_distinct": 12.0, "least_distinct": 3.0, "words_to_distinct": 2.5, "frequency": 0.11, "least_letters": 40, "least_words": 12, "sampled_characters": 250_000}
+
+
+def _latin_class() -> str:
+    """A character class of the letters of the Basic Multilingual Plane whose Unicode name says LATIN."""
+    out, start = [], None
+    for c in range(0x10001):
+        inside = c < 0x10000 and chr(c).isalpha() and (c < 128 or "LATIN" in unicodedata.name(chr(c), ""))
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\x{{{start:x}}}-\\x{{{c - 1:x}}}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
+LATIN = _latin_class()
 
 
 def english_probability(text: Column) -> Column:
-    """Script, vocabulary and frequency scores, weighted 0.5, 0.3 and 0.2; null under 40 letters or 12 words."""
-    words = F.transform(found(F.substring(text, 1, 250_000), WORD), F.lower)
-    letters, n = alpha_chars(text), F.size(words)
-    latin = F.length(text) - without(text, "[A-Za-zÀ-ÖØ-öø-ɏ]")
-    hits = F.filter(words, lambda w: w.isin(ENGLISH_WORDS))
-    target = F.least(F.lit(12.0), F.greatest(F.lit(3.0), n / 2.5))
-    score = 0.5 * F.least(F.lit(1.0), latin / letters / 0.985) + 0.3 * F.least(F.lit(1.0), F.size(F.array_distinct(hits)) / target) + 0.2 * F.least(F.lit(1.0), F.size(hits) / n / 0.11)
-    return F.when((letters >= 40) & (n >= 12), F.round(score, 6))
+    """Script, vocabulary and frequency scores, weighted; null under the least letters or words. Words are those of the sampled
+    characters, letters of the whole text; distinct function words are held against a number that grows with the words there are."""
+    k = ENGLISH
+    words = F.transform(found(F.substring(text, 1, k["sampled_characters"]), ENGLISH_WORD), F.lower)
+    letters, latin = alpha_chars(text), F.length(text) - without(text, LATIN)
+    at_most_1 = lambda x: F.least(F.lit(1.0), x)
+
+    def score(w: Column) -> Column:
+        n = F.size(w)
+        hits = F.filter(w, lambda x: x.isin(ENGLISH_WORDS))
+        target = F.least(F.lit(k["most_distinct"]), F.greatest(F.lit(k["least_distinct"]), n / k["words_to_distinct"]))
+        whole = k["script_weight"] * at_most_1(latin / letters / k["latin_share"]) + k["vocabulary_weight"] * at_most_1(F.size(F.array_distinct(hits)) / target) + k["frequency_weight"] * at_most_1(F.size(hits) / n / k["frequency"])
+        return F.when((letters >= k["least_letters"]) & (n >= k["least_words"]), F.round(whole, 6))
+
+    return bound(words, score)
+
+
+# What long-range structure is told by, and its bounds. The flags are put before each pattern by engine.
+HEADING = r"^(?:#{1,6}\s+|(?:chapter|section|part|appendix)\s+[A-Z0-9IVXLC.-]+\b)"
+LONG_REFERENCE = r"\b(?:see|refer to|as (?:shown|described|defined|proved)|above|below|earlier|later)\s+(?:in\s+)?(?:chapter|section|part|appendix|figure|table|equation|theorem|lemma|definition|listing|file|module|class|function)?"
+CODE_DEPENDENCY = r"""^(?:\s*(?:from|import|include|require|use|mod|package)\b|\s*#include\s*[<"]|\s*(?:class|interface|trait|impl|def|fn)\s+)"""
+STRUCTURE = {"long": 32_768, "very_long": 131_072, "headings": 4, "paragraphs": 24, "references": 4, "dependencies": 8}
+
+
+def structural_evidence(text: Column, described: Column | None = None) -> Column:
+    """0 to 5: a point each for long, very long, headed or many paragraphs, references or code dependencies, and metadata that names a
+    repository, a scholarly or a long work."""
+    k, point = STRUCTURE, lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    n, paragraphs = F.length(text), F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != ""))
+    many = lambda flags, pattern, least: number_of(text, flags + pattern) >= least
+    points = [
+        n >= k["long"],
+        n >= k["very_long"],
+        many("(?dim)", HEADING, k["headings"]) | (paragraphs >= k["paragraphs"]),
+        many("(?i)", LONG_REFERENCE, k["references"]) | many("(?dm)", CODE_DEPENDENCY, k["dependencies"]),
+        described if described is not None else F.lit(False),
+    ]
+    return sum((point(p) for p in points[1:]), point(points[0]))
 
 
-def structural_evidence(text: Column) -> Column:
-    """0 to 5: long, very long, headed or many paragraphs, cross-references."""
-    headings = number_of(text, r"(?m)^#{1,6} \S")
-    paragraphs = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != ""))
-    references = number_of(text, r"(?i)\b(?:section|chapter|figure|table|appendix) \d+")
-    return ((F.length(text) >= 32768).cast("int") + (F.length(text) >= 131072).cast("int") + ((headings >= 4) | (paragraphs >= 24)).cast("int") + (references >= 4).cast("int")).cast("bigint")
+# Phrases that a licence text holds, all of them, in order of precedence; and those that veto any.
+LICENSE_PHRASES = [
+    ("Apache-2.0", ["apache license", "version 2.0"]),
+    ("MIT", ["permission is hereby granted, free of charge", 'the software is provided "as is"']),
+    ("MPL-2.0", ["mozilla public license version 2.0"]),
+    ("Unlicense", ["this is free and unencumbered software released into the public domain"]),
+    ("CC0-1.0", ["cc0 1.0 universal", "public domain"]),
+    ("ISC", ["permission to use, copy, modify, and/or distribute this software", 'the software is provided "as is"']),
+    ("BSD-3-Clause", ["redistribution and use in source and binary forms", "neither the name"]),
+    ("BSD-2-Clause", ["redistribution and use in source and binary forms"]),
+]
+STRONG_COPYLEFT = ["gnu affero general public license", "gnu general public license", "gnu lesser general public license", "server side public license", "business source license"]
 
 
 def license_family(text: Column) -> Column:
-    """The permissive licence that a text states, unless it also states a copyleft one."""
-    t = F.lower(text)
-    copyleft = t.rlike("general public license|gnu gpl|affero|share-alike|cc by-sa|cc by-nc")
-    named = F.when(t.rlike("apache license"), "Apache-2.0").when(t.rlike("mit license"), "MIT").when(t.rlike("mozilla public license"), "MPL-2.0").when(t.rlike("unlicense"), "Unlicense").when(t.rlike("cc0"), "CC0-1.0").when(t.rlike("isc license"), "ISC").when(t.rlike("bsd license|bsd [23]-clause"), "BSD")
-    return F.when(~copyleft, named)
+    """The licence of a licence text, told by phrases that all have to be there; null if none is, or one of strong copyleft."""
+    has = lambda t, phrases: F.forall(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))
+
+    def told(t: Column) -> Column:
+        out = F.when(F.exists(F.array(*map(F.lit, STRONG_COPYLEFT)), lambda p: F.contains(t, p)), F.lit(None).cast("string"))
+        for name, phrases in LICENSE_PHRASES:
+            out = out.when(has(t, phrases), name)
+        return out
+
+    return bound(F.lower(F.regexp_replace(text, r"[\s\x0b]+", " ")), told)
+
+
+# URLs in messages, and marks by which secret tokens begin.
+MESSAGE_URL = r"""(https?://[^\s'"<>?]+)\?[^\s'"<>]*"""
+MESSAGE_TOKEN = r"\b(?:hf_|ghp_|github_pat_|sk-)[A-Za-z0-9_-]{16,}"
 
 
 def redacted(message: Column) -> Column:
-    """URL queries and tokens out of an error message."""
-    m = F.regexp_replace(message, r"(https?://[^\s?]+)\?\S+", "$1?[redacted]")
-    return F.regexp_replace(m, r"(?i)(token|key|secret)=[^\s&]+", "$1=[redacted]")
+    """URL queries cut and secret tokens masked in an error message."""
+    return F.regexp_replace(F.regexp_replace(message, MESSAGE_URL, "$1"), MESSAGE_TOKEN, "<redacted>")
+
+
+def sequence_ratio(left: Column, right: Column) -> Column:
+    """2 M / T of the case-folded texts, where M are the characters of matching blocks and T those of both (Ratcliff and Obershelp)."""
+    from difflib import SequenceMatcher
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([None if x is None or y is None else SequenceMatcher(a=x.casefold(), b=y.casefold()).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(left, right)

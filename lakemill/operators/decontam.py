@@ -1,100 +1,93 @@
-"""Benchmark decontamination against holdout groups: exact, contiguous run and n-gram rules; and with code, skeleton and short n-gram rules."""
+"""Benchmark decontamination against holdout groups: exact, contiguous run, n-gram, code, skeleton and short n-gram rules.
+
+A document's grams are hashed once, in order, and meet the postings of the holdouts in one join; only what matches is written, and all rules are
+counted from that table. Postings are broadcast up to a checked number; beyond it the join shuffles.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .evidence import KEYWORDS
+from .evidence import CODE_TOKEN, looks_like_code, skeleton
+from .graph import cut
 
-#: The holdout index is broadcast only up to this many n-grams; beyond it the join shuffles.
+#: The postings are broadcast only up to this many; beyond it the join shuffles.
 MOST_BROADCAST = 2_000_000
+# Length of each family's grams, the least that have to match, holdouts that may share a gram, and the least run.
+FAMILIES = {"ngram": (13, 2), "code_ngram": (12, 8), "code_skeleton_ngram": (16, 12), "short_ngram": (8, 2)}
+MOST_GROUPS, LEAST_RUN, SHARE = 32, 8, 0.002
+REASONS = ["exact", "contiguous_run", "ngram", "code_ngram", "code_skeleton_ngram", "short_ngram"]
 
 
-CODE_TOKEN = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|===|!==|==|!=|<=|>=|=>|->|::|\+\+|--|&&|\|\||<<|>>|\*\*|[{}()\[\];,.?:+\-*/%&|^~<>=!])"""
-_MARKED = r"(?m)(?:^\s*(?:def|class|function|fn|public|private|package|import|from|#include)\b|(?:assert|return|throw|raise)\s+|=>|::|\{[^}]*\}|\[[^]]*\]\s*=)"
-
-
-def is_code(text: Column) -> Column:
-    return text.rlike(_MARKED) | (T.number_of(text, "[{}();=]") >= 4)
-
-
-def _digests(tokens: Column, n: int) -> Column:
-    return F.transform(T.windows(tokens, n), lambda w: F.md5(F.array_join(w, "\0").cast("binary")))
+def ngrams(text: Column, n: int) -> Column:
+    """Digests of every run of n lower-cased words, in order."""
+    words = F.transform(T.found(text, T.WORD), F.lower)
+    return F.transform(T.windows(words, n), lambda w: F.md5(F.array_join(w, " ").cast("binary")))
 
 
-def code_ngrams(text: Column, n: int) -> Column:
-    """Digests of every run of n code tokens; none where the text does not look like code."""
-    return F.when(is_code(text), _digests(T.found(text, CODE_TOKEN), n)).otherwise(F.array().cast("array<string>"))
+def hashed(tokens: Column, n: int) -> Column:
+    """64-bit hashes of every run of n tokens, in order."""
+    return F.transform(T.windows(tokens, n), lambda w: F.xxhash64(w))
 
 
-def skeleton_ngrams(text: Column, n: int) -> Column:
-    """As code_ngrams, with names, numbers and strings replaced."""
-    kind = lambda x: F.when(F.lower(x).isin(KEYWORDS), F.lower(x)).when(x.rlike("^[A-Za-z_$]"), "<id>").when(x.rlike("^[0-9]"), "<num>").when(x.rlike("^[\"'`]"), "<str>").otherwise(x)
-    return F.when(is_code(text), _digests(F.transform(T.found(text, CODE_TOKEN), kind), n)).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, families: Sequence[str]) -> dict[str, Column]:
+    """The hashed grams of each family; code families have none where the text does not look like code."""
+    words, code = F.transform(T.found(text, T.WORD), F.lower), looks_like_code(text)
+    none = F.array().cast("array<bigint>")
+    tokens = {"ngram": words, "short_ngram": words, "code_ngram": T.found(text, CODE_TOKEN), "code_skeleton_ngram": skeleton(text)}
+    each = {f: hashed(tokens[f], FAMILIES[f][0]) for f in families}
+    return {f: F.when(code, g).otherwise(none) if f.startswith("code") else g for f, g in each.items()}
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Digests of every run of n lower-cased words, in order."""
-    words = F.transform(T.found(text, T.WORD), F.lower)
-    return F.transform(T.windows(words, n), lambda w: F.md5(F.array_join(w, " ").cast("binary")))
+def _exploded(rows: DataFrame, key: str, text: str, families: Sequence[str]) -> DataFrame:
+    """(key, family, total, pos, gram): total is the number of distinct grams of the family."""
+    kinds = F.array(*[F.struct(F.lit(f).alias("family"), g.alias("grams")) for f, g in grams(F.col(text), families).items()])
+    some = rows.select(key, F.explode(kinds).alias("f")).where("size(f.grams) > 0")
+    return some.select(key, "f.family", F.size(F.array_distinct("f.grams")).alias("total"), F.posexplode("f.grams").alias("pos", "gram"))
 
 
-def index(holdouts: DataFrame, n: int, most_groups: int = 32, group: str = "item_id", text: str = "text") -> DataFrame:
-    """(gram, group) of grams that at most most_groups holdouts hold, and how many grams the group needs."""
-    each = holdouts.select(F.col(group).alias("group"), F.explode(F.array_distinct(ngrams(F.col(text), n))).alias("gram"))
-    common = each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") <= most_groups).select("gram")
-    return each.join(common, "gram", "left_semi")
+def index(holdouts: DataFrame, families: Sequence[str] = ("ngram",), most_groups: int = MOST_GROUPS, group: str = "item_id", text: str = "text") -> DataFrame:
+    """(family, gram, group) of grams that at most most_groups holdouts hold, as a table."""
+    each = _exploded(holdouts, group, text, families).select("family", "gram", F.col(group).alias("group")).distinct()
+    common = each.groupBy("family", "gram").agg(F.count("*").alias("k")).where(F.col("k") <= most_groups).select("family", "gram")
+    return cut(each.join(common, ["family", "gram"], "left_semi"))
 
 
-def _joined(rows: DataFrame, postings: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(postings) if postings.count() <= MOST_BROADCAST else postings, "gram")
+def hits(docs: DataFrame, postings: DataFrame, families: Sequence[str] = ("ngram",), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, family, total, pos, gram, group) of every gram that a document shares with a holdout group, as a table."""
+    small = F.broadcast(postings) if postings.count() <= MOST_BROADCAST else postings
+    return cut(_exploded(docs, key, text, families).join(small, ["family", "gram"]))
 
 
-def matches(docs: DataFrame, postings: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, group, n_grams): distinct shared grams of each document and holdout group."""
-    grams = docs.select(key, F.explode(F.array_distinct(ngrams(F.col(text), n))).alias("gram"))
-    return _joined(grams, postings).groupBy(key, "group").agg(F.count("*").alias("n_grams"))
+def matches(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, family, group, total, n_grams): distinct shared grams of each document and holdout group."""
+    return found.groupBy(key, "family", "group", "total").agg(F.count_distinct("gram").alias("n_grams"))
 
 
-def runs(docs: DataFrame, postings: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def runs(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, group, run): the most grams in a row that a document shares with one holdout group."""
-    grams = docs.select(key, F.posexplode(ngrams(F.col(text), n)).alias("pos", "gram"))
-    hits = _joined(grams, postings).select(key, "group", "pos").distinct()
+    places = found.where("family = 'ngram'").select(key, "group", "pos").distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy(key, "group").orderBy("pos"))
-    return hits.withColumn("island", island).groupBy(key, "group", "island").agg(F.count("*").alias("n")).groupBy(key, "group").agg(F.max("n").alias("run"))
-
-
-def contamination(docs: DataFrame, holdouts: DataFrame, n: int = 13, least: int = 2, share: float = 0.002, least_run: int = 8, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
-    """(key, reason) of contaminated documents: exact, then contiguous run, then n-gram."""
-    exact = docs.select(key, T.canonical(F.col(text)).alias("c")).join(holdouts.select(T.canonical(F.col(text)).alias("c")).distinct(), "c", "left_semi").select(key, F.lit(0).alias("rank"))
-    postings = index(holdouts, n, group=group, text=text)
-    long = runs(docs, postings, n, key, text).where(F.col("run") >= least_run).select(key, F.lit(1).alias("rank"))
-    total = docs.select(key, F.size(F.array_distinct(ngrams(F.col(text), n))).alias("total"))
-    some = matches(docs, postings, n, key, text).join(total, key).where(F.col("n_grams") >= F.greatest(F.lit(least), F.ceil(F.col("total") * share))).select(key, F.lit(2).alias("rank"))
-    names = F.array(F.lit("exact"), F.lit("contiguous_run"), F.lit("ngram"))
-    return exact.union(long).union(some).groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.get(names, F.col("rank")).alias("reason"))
-
-
-def alike(docs: DataFrame, holdouts: DataFrame, grams, n: int, least: int, share: float, key: str, text: str, group: str, most_groups: int = 32) -> DataFrame:
-    """(key) of documents that share enough distinct grams with one holdout group: least, or a share of their own."""
-    each = holdouts.select(F.col(group).alias("group"), F.explode(F.array_distinct(grams(F.col(text), n))).alias("gram")).distinct()
-    postings = each.join(each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") <= most_groups).select("gram"), "gram", "left_semi")
-    own = docs.select(key, F.array_distinct(grams(F.col(text), n)).alias("grams"))
-    hits = _joined(own.select(key, F.size("grams").alias("total"), F.explode("grams").alias("gram")), postings)
-    return hits.groupBy(key, "group", "total").agg(F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(least), F.ceil(F.col("total") * share))).select(key).distinct()
-
-
-def every_contamination(docs: DataFrame, holdouts: DataFrame, code_n: int = 12, skeleton_n: int = 16, short_n: int = 8, least: int = 2, share: float = 0.002, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
-    """(key, reason): as contamination, then code n-grams, skeleton n-grams and short n-grams; each of `least` or more matches in one group."""
-    names = ["exact", "contiguous_run", "ngram", "code_ngram", "code_skeleton_ngram", "short_ngram"]
-    found = contamination(docs, holdouts, least=least, share=share, key=key, text=text, group=group)
-    found = found.select(key, F.array_position(F.array(*map(F.lit, names)), F.col("reason")).alias("rank"))
-    for rank, (grams, n) in enumerate(((code_ngrams, code_n), (skeleton_ngrams, skeleton_n), (ngrams, short_n)), 4):
-        found = found.unionByName(alike(docs, holdouts, grams, n, least, share, key, text, group).select(key, F.lit(rank).cast("bigint").alias("rank")))
-    return found.groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.element_at(F.array(*map(F.lit, names)), F.col("rank").cast("int")).alias("reason"))
+    return places.withColumn("island", island).groupBy(key, "group", "island").agg(F.count("*").alias("n")).groupBy(key, "group").agg(F.max("n").alias("run"))
+
+
+def contamination(docs: DataFrame, holdouts: DataFrame, families: Sequence[str] = tuple(FAMILIES), share: float = SHARE, least_run: int = LEAST_RUN, key: str = "doc_id", text: str = "text", group: str = "item_id") -> DataFrame:
+    """(key, reason) of contaminated documents: the first of REASONS; a family counts if enough distinct grams are those of one holdout group, its least
+    number or a share of the document's own. Families that are not given are not consulted; n-grams always are."""
+    families = tuple(dict.fromkeys(("ngram", *families)))
+    canonical = lambda: T.canonical(F.col(text))
+    exact = docs.select(key, canonical().alias("c")).join(holdouts.select(canonical().alias("c")).where("c <> ''").distinct(), "c", "left_semi").select(key, F.lit(0).alias("rank"))
+    found = hits(docs, index(holdouts, families, group=group, text=text), families, key, text)
+    long = runs(found, key).where(F.col("run") >= least_run).select(key, F.lit(1).alias("rank"))
+    least = F.create_map(*[F.lit(x) for f in families for x in (f, FAMILIES[f][1])])
+    enough = matches(found, key).where(F.col("n_grams") >= F.greatest(least[F.col("family")], F.ceil(F.col("total") * share)))
+    some = enough.select(key, (F.array_position(F.array(*map(F.lit, REASONS)), F.col("family")) - 1).cast("int").alias("rank"))
+    return exact.union(long).union(some).groupBy(key).agg(F.min("rank").alias("rank")).select(key, F.get(F.array(*map(F.lit, REASONS)), F.col("rank")).alias("reason"))
 
 
 def genealogy_key(name: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,16 +36,47 @@ def remove(df: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
 
+def span_digest(sentences: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(sentences, F.lower), "\x1e").cast("binary"), 256)
+
+
+def span_signatures(docs: DataFrame, size: int = 3, least_words: int = 24, key: str = "doc_id", text: str = "text", *keep: Column) -> DataFrame:
+    """(key, keep, pos, digest) of every window of `size` sentences with the least words."""
+    rows = docs.select(key, *keep, T.sentences(F.col(text)).alias("_s"))
+    names = [c for c in rows.columns if c != "_s"]
+    spans = rows.select(*names, F.posexplode(T.windows(F.col("_s"), size)).alias("pos", "w")).where(T.number_of(F.array_join("w", " "), T.WORD) >= least_words)
+    return spans.select(*names, "pos", span_digest(F.col("w")).alias("digest"))
+
+
+def span_candidates(signatures: DataFrame, prefix: int = 32, key: str = "doc_id") -> DataFrame:
+    """The signatures whose digest's prefix two documents or more hold; a collision of prefixes only lets more pass."""
+    rows = signatures.withColumn("_p", F.substring("digest", 1, prefix))
+    several = rows.groupBy("_p").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("_p")
+    return rows.join(several, "_p", "left_semi").drop("_p")
+
+
 def shared_spans(docs: DataFrame, size: int = 3, least_words: int = 24, key: str = "doc_id", text: str = "text", order: Column | None = None) -> DataFrame:
     """(key, pos, digest, keeper): every window of `size` sentences that two documents or more hold, with the document that keeps it."""
-    rows = docs.select(key, (order if order is not None else F.col(key)).alias("_order"), T.sentences(F.col(text)).alias("s"))
-    spans = rows.select(key, "_order", F.posexplode(T.windows(F.col("s"), size)).alias("pos", "w")).where(T.number_of(F.array_join("w", " "), T.WORD) >= least_words)
-    spans = spans.select(key, "_order", "pos", F.sha2(F.array_join(F.transform("w", F.lower), "\x1e").cast("binary"), 256).alias("digest"))
+    spans = span_signatures(docs, size, least_words, key, text, (order if order is not None else F.col(key)).alias("_order"))
     # two documents, not two places: compares the smallest and largest key, so nothing is gathered
     shared = spans.groupBy("digest").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.min_by(key, F.struct("_order", key)).alias("keeper")).where("a <> b").select("digest", "keeper")
     return spans.join(shared, "digest").select(key, "pos", "digest", "keeper")
 
 
+def verified_removals(docs: DataFrame, removals: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_sentences, gone): the sentences to remove of each document with removals (key, pos, digest) whose digest is still that of its text."""
+    told = removals.groupBy(key).agg(F.collect_list(F.struct("pos", "digest")).alias("_r"))
+    rows = docs.select(key, T.sentences(F.col(text)).alias("_s")).join(told.hint("merge"), key)
+    sound = F.filter("_r", lambda r: span_digest(F.slice(F.col("_s"), r["pos"] + 1, size)) == r["digest"])
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(sound, lambda r: F.sequence(r["pos"], r["pos"] + (size - 1))))))
+    return rows.select(key, F.size("_s").alias("n_sentences"), gone.alias("gone"))
+
+
+def sha_number(name: str) -> str:
+    """The first 15 hexadecimal digits of a name's SHA-256."""
+    return hashlib.sha256(name.encode()).hexdigest()[:15]
+
+
 def strip_spans(docs: DataFrame, spans: DataFrame, size: int = 3, least_words: int = 50, least_sentences: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_sentences, n_removed, kept_text, decision) after all non-keepers lose their shared spans."""
     gone = spans.where(F.col(key) != F.col("keeper")).groupBy(key).agg(F.collect_set("pos").alias("pos")).select(key, F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(p, p + (size - 1))))).alias("gone"))
@@ -61,6 +95,42 @@ def block_duplicates(docs: DataFrame, tokens: Column, size: int = 96, share: flo
     return blocks.join(first, "digest").groupBy(key).agg(F.sum("w").alias("weight"), F.sum(F.when(F.col("first") != F.col(key), F.col("w")).otherwise(0)).alias("duplicate_weight")).withColumn("removed", F.col("duplicate_weight") / F.col("weight") >= share)
 
 
+def code_removals(units: DataFrame, order: Column, share: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(key, total, copied, reason) of the files to remove, from (key, kind, digest, weight): each (digest, kind) stays with its first file by order; a file
+    goes if its whole is another's, or if its copied units are `share` of the weight of all its units."""
+    rows = units.withColumn("_order", order)
+    keepers = rows.groupBy("digest", "kind").agg(F.min_by(key, F.struct("_order", key)).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "kind", "keeper")
+    lost = rows.join(keepers.hint("merge"), ["digest", "kind"], "left").withColumn("copy", F.coalesce(F.col("keeper") != F.col(key), F.lit(False)))
+    unit = F.col("kind") != "file"
+    sums = lost.groupBy(key).agg(F.bool_or(~unit & F.col("copy")).alias("file"), F.coalesce(F.sum(F.when(unit, F.col("weight"))), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(unit & F.col("copy"), F.col("weight"))), F.lit(0)).alias("copied"))
+    reason = F.when(F.col("file"), "file_duplicate").when((F.col("total") > 0) & (F.col("copied") >= F.col("total") * share), "unit_duplicates")
+    return sums.select(key, "total", "copied", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def signatures(rows: DataFrame, hashes: str, permutations: int) -> DataFrame:
+    """rows with the array of 32-bit hashes replaced by `permutations` minima of (a h + b) mod (2^31 - 1); rows without hashes are left out.
+
+    Every hash is permuted in 64-bit arithmetic, which any engine has: a and b of permutation k are (k + 1) * 2654435761 mod 1073741789 and
+    (k + 1) * 40503 * 65537 mod 1073741827.
+    """
+    k = np.arange(1, permutations + 1, dtype=object)
+    a, b = (k * 2654435761 % 1073741789).astype(np.int64), (k * 40503 * 65537 % 1073741827).astype(np.int64)
+    names = rows.columns
+    at = names.index(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h in batch.column(at):
+                x, least = np.asarray(h.values), np.full(permutations, np.iinfo(np.int64).max)
+                for i in range(0, len(x), 4096):
+                    least = np.minimum(least, ((x[i : i + 4096, None] * a + b) % 2147483647).min(axis=0))
+                out.append(least)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return rows.where(F.size(hashes) > 0).mapInArrow(run, rows.schema)
+
+
 def band_keys(signature: Column, rows: int, scope: Column) -> Column:
     """A digest for each band of `rows` signature values."""
     return F.transform(F.sequence(F.lit(0), (F.size(signature) / rows).cast("int") - 1), lambda i: F.sha2(F.concat_ws("|", scope, i.cast("string"), F.array_join(F.slice(signature, i * rows + 1, rows), ",")).cast("binary"), 256))
@@ -74,9 +144,15 @@ def band_links(signed: DataFrame, bands: Column, key: str = "doc_id") -> DataFra
 
 
 def merged(index: DataFrame | None, batch: DataFrame, by: Sequence[str], order: Sequence[Column], identity: Sequence[str]) -> DataFrame:
-    """The index after a batch: redelivered occurrences count once."""
+    """The index after a batch: an occurrence (by and identity) counts once; of redeliveries that differ the first in the order stays, then
+    the first by all columns, so the result does not depend on which came first."""
     rows = batch if index is None else index.unionByName(batch)
-    return rows.dropDuplicates(list(identity))
+    keys = list(dict.fromkeys([*by, *identity]))
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    best = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]))
+    return rows.groupBy(*keys).agg(best.alias("_w")).select(*keys, "_w.*").select(*rows.columns)
 
 
 def status(deliveries: DataFrame, by: str = "dedup_hash", identity: str = "occurrence_id") -> DataFrame:

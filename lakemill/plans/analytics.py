@@ -191,13 +191,6 @@ def l19_thresholds(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", (F.ceil(k * 11 / 10) + 10).alias("next_threshold"), F.round(F.least(F.lit(1.0), 1.10 * (k * 100.0) / (k * 100 + 5000)), 9).alias("share"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_orderkey % 4 = 0 THEN 1 - least(o_totalprice / 400000, 1) ELSE -0.5 * least(o_totalprice / 400000, 1) END, 9) AS reward FROM orders")
-def u21_length_budget(spark, sf_dir):
-    """Right answers earn less the longer they are, wrong ones lose more."""
-    used = F.least(F.col("o_totalprice") / 400000, F.lit(1.0))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.when(F.col("o_orderkey") % 4 == 0, 1 - used).otherwise(-0.5 * used), 9).alias("reward"))
-
-
 @query("WITH r AS (SELECT l_orderkey, l_linenumber, sha256(l_orderkey || '-' || l_linenumber) AS h FROM lineitem) SELECT l_orderkey, l_linenumber FROM r WHERE h < '08' ")
 def l7_hash_sample(spark, sf_dir):
     h = F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber").cast("binary"), 256)

@@ -11,13 +11,15 @@ from ..operators import reasons as R
 from .registry import query, table
 
 _W = r"[\p{L}\p{N}_]+"
-_QW = r"[\p{L}\p{N}_''-]+"
+_QW = T.QUALITY_WORD.replace("'", "''")
+#: DuckDB: the stripped lines of a text that aren't blank.
+LINES = f"list_filter(string_split(regexp_replace(text, '{T.EDGES}', chr(10), 'g'), chr(10)), lambda x: x <> '')"
 #: DuckDB: the features of a text that the quality rules read.
 FEATURES = rf"""
 SELECT doc_id, lang, source, text, length(text) AS n, len(regexp_extract_all(text, '{_QW}')) AS words,
   length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS alpha,
   length(text) - length(regexp_replace(text, '[^\p{{L}}\p{{N}}\s\x0b]', '', 'g')) AS symbols,
-  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
+  {LINES} AS lines,
   len(regexp_extract_all(text, '(?i)https?://\S+')) AS urls
 FROM documents"""
 
@@ -36,9 +38,9 @@ def t7_text_features(spark, sf_dir):
 
 _REASON = f"""SELECT doc_id, lang, text, CASE WHEN n < 300 THEN 'minimum_characters' WHEN n > 2000000 THEN 'maximum_characters' WHEN alpha / greatest(n, 1) < 0.45 THEN 'minimum_alpha_fraction'
  WHEN symbols / greatest(n, 1) > 0.35 THEN 'maximum_symbol_fraction' WHEN len(lines) > 0 AND 1 - len(list_distinct(lines)) / len(lines) > 0.20 THEN 'maximum_repeated_line_fraction' WHEN 100.0 * urls / greatest(words, 1) > 4.0 THEN 'maximum_url_density_per_100_words'
- WHEN regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b') OR regexp_matches(text, '\\b(ghp|github_pat)_[A-Za-z0-9_]{{20,}}\\b') OR regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{{20,}}\\b') THEN 'secret'
+ WHEN regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b') OR regexp_matches(text, '\\b(ghp|github_pat)_[A-Za-z0-9_]{{20,}}\\b') OR regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{{20,}}\\b') THEN 'secret'
  END AS reason FROM ({FEATURES})""".replace("\\\\", "\\")
-_LIMITS = R.profile("web_general_v1", reject_personal_data=False, quality_score_minimum=None)
+_LIMITS = R.profile("web_general_v1", reject_personal_data=None, quality_score_minimum=None, language_probability_minimum=None)
 
 
 @query(f"SELECT doc_id, reason FROM ({_REASON})")
@@ -61,11 +63,60 @@ def f1_quality_funnel(spark, sf_dir):
 def f2_profiles_and_missing_evidence(spark, sf_dir):
     """Missing evidence fails by itself, unless the profile is told not to."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    lax = R.profile("web_hq_v1", minimum_alpha_fraction=0.0, maximum_symbol_fraction=1.0, maximum_repeated_line_fraction=1.0, maximum_url_density_per_100_words=1e9, reject_secrets=False, reject_personal_data=False)
+    lax = R.profile("web_hq_v1", minimum_alpha_fraction=None, maximum_symbol_fraction=None, maximum_repeated_line_fraction=None, maximum_url_density_per_100_words=None, language_probability_minimum=None, reject_secrets=None, reject_personal_data=None)
     reason = lambda closed: R.quality_reason(F.col("text"), lax, {"quality_score": F.col("quality").cast("double")}, closed)
     return rows.select("doc_id", reason(True).alias("reason"), reason(False).alias("open_reason"))
 
 
+def _evidence():
+    """Evidence made from doc_id, so that every rule of every profile meets rows that have it, lack it and fail it."""
+    d = F.col("doc_id")
+    numbers = {f: F.when(d % 7 != i % 7, (d % 10) / 10.0 * (6 if f.endswith("al_score") or f in ("math_score", "component_count") else 1)) for i, f in enumerate([*R.MINIMA.values(), *R.MAXIMA.values()])}
+    return numbers | {f: F.when(d % 11 != i % 11, "given").otherwise("") for i, f in enumerate(dict.fromkeys([*R.REQUIRED.values(), *R.SCANS.values()]))}
+
+
+def _profile_sql(name: str) -> str:
+    """The reason of a profile in DuckDB's words, for the features of f and the made evidence."""
+    k, out = R.profile(name), []
+    number = lambda i, f: f"(CASE WHEN doc_id % 7 <> {i % 7} THEN (doc_id % 10) / 10.0 * {6 if f.endswith('al_score') or f in ('math_score', 'component_count') else 1} END)"
+    fields = [*R.MINIMA.values(), *R.MAXIMA.values()]
+    flags = list(dict.fromkeys([*R.REQUIRED.values(), *R.SCANS.values()]))
+    own = [("minimum_characters", "n < {}"), ("maximum_characters", "n > {}"), ("minimum_alpha_fraction", "alpha / greatest(n, 1) < {}"), ("maximum_symbol_fraction", "symbols / greatest(n, 1) > {}"), ("maximum_repeated_line_fraction", "len(lines) > 0 AND 1 - len(list_distinct(lines)) / len(lines) > {}"), ("maximum_url_density_per_100_words", "100.0 * urls / greatest(words, 1) > {}")]
+    out += [(rule, test.format(k[rule])) for rule, test in own if rule in k]
+    secret = "secret"
+    if k.get("reject_secrets"):
+        out.append(("secret", secret))
+    if k.get("reject_personal_data"):
+        out.append(("personal_data", f"contacts > {k.get('personal_data_maximum_contacts', 0)}"))
+    if k.get("reject_probable_model_generated"):
+        out.append(("probable_model_generated", "boilerplate"))
+    for bounds, sign in ((R.MINIMA, "<"), (R.MAXIMA, ">")):
+        for rule, f in bounds.items():
+            if rule in k:
+                v = number(fields.index(f), f)
+                out += [(f"missing_{f}", f"{v} IS NULL"), (rule, f"{v} {sign} {float(k[rule])}")]
+    absent = lambda f: f"doc_id % 11 = {flags.index(f) % 11}"
+    out += [(f"missing_{f}", absent(f)) for rule, f in R.REQUIRED.items() if k.get(rule)]
+    out += [("secret", secret)] * (k.get("secret_scan") == "required") + [("personal_data", "contacts > 0")] * (k.get("pii_scan") == "required")
+    out += [(f"missing_{f}", absent(f)) for rule, f in R.SCANS.items() if k.get(rule) == "required"]
+    return "CASE " + " ".join(f"WHEN {test} THEN '{reason}'" for reason, test in out) + " END"
+
+
+_ROLES = ", ".join(f"'{r}'" for r in T.ROLE_MAILBOXES)
+_CONTACTS = rf"""len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '{T.EMAIL}'), lambda e: NOT list_contains([{_ROLES}], lower(split_part(e, '@', 1))) AND NOT regexp_matches(split_part(e, '@', 2), '{T.RESERVED_DOMAIN}')), lambda e: lower(e))))
+ + len(list_distinct(list_transform(regexp_extract_all(text, '{T.PHONE_PUNCTUATED}') || regexp_extract_all(text, '{T.PHONE_ANNOUNCED}'), lambda p: right(regexp_replace(p, '\D', '', 'g'), 10)))) + len(list_distinct(regexp_extract_all(text, '{T.SSN}')))"""
+_SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in T.SECRETS.values())
+
+
+@query(f"""WITH f AS ({FEATURES}), g AS MATERIALIZED (SELECT * EXCLUDE text, {_CONTACTS} AS contacts, {_SECRET} AS secret, regexp_matches(text, '{T.MODEL_BOILERPLATE}') AS boilerplate FROM f)
+""" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS profile, {_profile_sql(name)} AS reason FROM g" for name in R.PROFILES))
+def f1_f2_every_profile(spark, sf_dir):
+    """The reason of each document under each of the named profiles; the text's features are taken once."""
+    t, d = F.col("text"), table(spark, sf_dir, "documents")
+    reasons = F.array(*[F.struct(F.lit(name).alias("profile"), R.quality_reason(t, R.profile(name), _evidence()).alias("reason")) for name in R.PROFILES])
+    return d.select("doc_id", F.explode(reasons).alias("r")).select("doc_id", "r.profile", "r.reason")
+
+
 @query(r"""SELECT doc_id, regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b|\b(ghp|github_pat)_[A-Za-z0-9_]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}\b|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') AS secret,
 CAST(len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b')) AS BIGINT) AS ssns,
 CAST(len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda e: NOT list_contains(['abuse','admin','billing','contact','customerservice','editor','editorial','enquiries','feedback','help','hello','info','inquiries','legal','mail','media','office','orders','permissions','postmaster','press','privacy','sales','security','service','support','team','webmaster','noreply','no-reply','donotreply','do-not-reply'], lower(split_part(e, '@', 1))) AND NOT regexp_matches(split_part(e, '@', 2), '(?i)^(.+\.)?(example\.(com|net|org)|example|test|invalid|localhost)$')), lambda e: lower(e)))) AS BIGINT) AS emails,
@@ -80,7 +131,7 @@ def t11_model_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(T.MODEL_BOILERPLATE).alias("boilerplate"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_''-]+')) AS BIGINT) AS quality_words,
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?')) AS BIGINT) AS quality_words,
 CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b]')) AS BIGINT) AS words_or_marks, CAST(len(regexp_extract_all(text, '[\s\x0b]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b]')) AS BIGINT) AS spaced FROM documents""")
 def t3_t6_tokens(spark, sf_dir):
     t = F.col("text")
@@ -125,7 +176,7 @@ def t13_t14_sentence_windows(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS cleaned,
-sha256(trim(regexp_replace(text, '[\s\x0b]+', ' ', 'g'))) AS collapsed FROM documents""")
+sha256(COLLAPSED) AS collapsed FROM documents""".replace("COLLAPSED", T.collapsed_sql("text")))
 def t16_t17_clean_text(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", H.sha256(T.cleaned(t)).alias("cleaned"), H.sha256(T.collapsed(t)).alias("collapsed"))
@@ -147,7 +198,7 @@ def t18_longest_run(spark, sf_dir):
 _EN = ",".join(f"'{w}'" for w in T.ENGLISH_WORDS)
 
 
-@query(rf"""WITH w AS (SELECT doc_id, text, list_transform(regexp_extract_all(left(text, 250000), '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x)) AS words, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '[A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) AS latin FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id, text, list_transform(regexp_extract_all(left(text, 250000), '{T.ENGLISH_WORD.replace("'", "''")}'), lambda x: lower(x)) AS words, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS letters, length(text) - length(regexp_replace(text, '{T.LATIN}', '', 'g')) AS latin FROM documents),
 h AS (SELECT *, list_filter(words, lambda x: list_contains([{_EN}], x)) AS hits FROM w)
 SELECT doc_id, CASE WHEN letters >= 40 AND len(words) >= 12 THEN round(0.5 * least(1.0, CAST(latin AS DOUBLE) / letters / 0.985) + 0.3 * least(1.0, len(list_distinct(hits)) / least(12.0, greatest(3.0, len(words) / CAST(2.5 AS DOUBLE)))) + 0.2 * least(1.0, len(hits) / len(words) / CAST(0.11 AS DOUBLE)), 6) END AS english FROM h""")
 def t20_english_probability(spark, sf_dir):
@@ -160,14 +211,28 @@ def t21_document_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.document_quality(F.col("text")), 6).alias("score"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN NOT regexp_matches(lower(text), 'general public license|gnu gpl|affero|share-alike|cc by-sa|cc by-nc') THEN CASE WHEN contains(lower(text), 'apache license') THEN 'Apache-2.0' WHEN contains(lower(text), 'mit license') THEN 'MIT' WHEN contains(lower(text), 'mozilla public license') THEN 'MPL-2.0' WHEN contains(lower(text), 'unlicense') THEN 'Unlicense' WHEN contains(lower(text), 'cc0') THEN 'CC0-1.0' WHEN contains(lower(text), 'isc license') THEN 'ISC' WHEN regexp_matches(lower(text), 'bsd license|bsd [23]-clause') THEN 'BSD' END END AS license FROM documents""")
+_LICENSED = "WITH t AS (SELECT doc_id, lower(regexp_replace(CASE doc_id % 9 WHEN 0 THEN 'Apache License\n Version 2.0 ' WHEN 1 THEN 'Permission is hereby granted, free of charge ... THE SOFTWARE IS PROVIDED \"AS IS\" ' WHEN 2 THEN 'Redistribution and use in source and binary forms ' WHEN 3 THEN 'CC0 1.0 Universal ... public domain ' WHEN 4 THEN 'GNU General Public License ' ELSE '' END || text, '[\\s\\x0b]+', ' ', 'g')) AS t FROM documents)"
+_HOLDS = lambda phrases: " AND ".join("contains(t, '{}')".format(p.replace("'", "''")) for p in phrases)
+
+
+@query(_LICENSED.replace("\\n", "' || chr(10) || '") + " SELECT doc_id, CASE " + f"WHEN {' OR '.join(_HOLDS([p]) for p in T.STRONG_COPYLEFT)} THEN NULL " + " ".join(f"WHEN {_HOLDS(p)} THEN '{name}'" for name, p in T.LICENSE_PHRASES) + " END AS license FROM t")
 def t29_license_family(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.license_family(F.col("text")).alias("license"))
+    """Documents with heads of licences, by the phrases that a licence text holds."""
+    heads = ["Apache License\n Version 2.0 ", 'Permission is hereby granted, free of charge ... THE SOFTWARE IS PROVIDED "AS IS" ', "Redistribution and use in source and binary forms ", "CC0 1.0 Universal ... public domain ", "GNU General Public License "]
+    head = F.coalesce(*[F.when(F.col("doc_id") % 9 == i, F.lit(x)) for i, x in enumerate(heads)], F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", T.license_family(F.concat(head, "text")).alias("license"))
 
 
-@query(r"""SELECT doc_id, CAST((CASE WHEN length(text) >= 32768 THEN 1 ELSE 0 END) + (CASE WHEN length(text) >= 131072 THEN 1 ELSE 0 END) + (CASE WHEN len(regexp_extract_all(text, '(?m)^#{1,6} \S')) >= 4 OR len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) >= 24 THEN 1 ELSE 0 END) + (CASE WHEN len(regexp_extract_all(text, '(?i)\b(?:section|chapter|figure|table|appendix) \d+')) >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS score FROM documents""")
+_MANY = lambda flags, p, least: f"len(regexp_extract_all(text, '{flags}{p}')) >= {least}"
+_POINT = lambda test: f"(CASE WHEN {test} THEN 1 ELSE 0 END)"
+
+
+@query(f"""SELECT doc_id, CAST({_POINT("length(text) >= 32768")} + {_POINT("length(text) >= 131072")} + {_POINT(_MANY("(?im)", T.HEADING, 4) + " OR len(list_filter(regexp_split_to_array(text, '" + chr(92) + "n" + chr(92) + "s*" + chr(92) + "n'), lambda p: trim(p) <> '')) >= 24")}
+ + {_POINT(_MANY("(?i)", T.LONG_REFERENCE, 4) + " OR " + _MANY("(?m)", T.CODE_DEPENDENCY, 8))} + {_POINT("doc_id % 3 = 0")} AS BIGINT) AS score FROM documents""")
 def t42_structural_evidence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.structural_evidence(F.col("text")).alias("score"))
+    """Every third document is of a repository."""
+    repository = F.when(F.col("doc_id") % 3 == 0, "a/b")
+    return table(spark, sf_dir, "documents").select("doc_id", T.structural_evidence(F.col("text"), repository.isNotNull()).alias("score"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('human', 'user') THEN 'user' WHEN lower(trim(role)) IN ('gpt', 'assistant', 'model') THEN 'assistant' ELSE lower(trim(role)) END AS role FROM conversations""")
@@ -180,12 +245,14 @@ def p4_normalized_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.keyed(F.col("source"), F.col("doc_id"), F.lit("text")).alias("row_id"), H.sha256(T.raw_form(F.col("text"))).alias("content_hash"), F.coalesce(F.nullif("lang", F.lit("")), F.lit("und")).alias("language"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 40) END), ''), nullif(trim(source), '')) AS body, 'Problem:' || chr(10) || left(source, 10) || chr(10) || chr(10) || 'Proof:' || chr(10) || left(lang, 5) AS sections FROM documents""")
+@query(r"""SELECT doc_id, sha256(coalesce(CASE WHEN doc_id % 3 <> 0 AND trim(text) <> '' THEN text END, CASE WHEN trim(source) <> '' THEN source END)) AS body, sha256('Problem:' || chr(10) || source || chr(10) || chr(10) || 'Proof:' || chr(10) || text) AS sections FROM documents""")
 def p1_p10_extraction(spark, sf_dir):
     """The first field that is not blank; sections of those that are there."""
-    blank = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 40))
-    sections = F.array_join(F.array(F.concat(F.lit("Problem:\n"), F.substring("source", 1, 10)), F.concat(F.lit("Proof:\n"), F.substring("lang", 1, 5))), "\n\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif(F.trim(blank), F.lit("")), F.nullif(F.trim("source"), F.lit(""))).alias("body"), sections.alias("sections"))
+    from ..sources.readers import first_text, sections
+
+    blank = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
+    whole = sections({"Problem": F.col("source"), "Formal statement": F.lit(""), "Proof": F.col("text")})
+    return table(spark, sf_dir, "documents").select("doc_id", H.sha256(first_text(blank, F.col("source"))).alias("body"), H.sha256(whole).alias("sections"))
 
 
 @query(r"""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INTEGER) AS best, round(CAST(list_max(embedding) AS DOUBLE), 6) AS prob FROM embeddings""")
@@ -222,30 +289,43 @@ def u5_rejected_path(spark, sf_dir):
 _KEYS = ",".join(f"'{k}'" for k in U.TRACKING_KEYS)
 
 
-@query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
-n AS (SELECT *, array_to_string(list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), lambda x: NOT list_contains([{_KEYS}], lower(split_part(x, '=', 1))))), '&') AS nq FROM p)
-SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN nq = '' THEN '' ELSE '?' || nq END AS url, h AS host FROM n""")
+@query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^\.+|\.+$', '', 'g') AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+n AS (SELECT *, array_to_string(list_transform(list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: struct_pack(k := url_decode(replace(split_part(x, '=', 1), '+', ' ')), v := url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, position('=' IN x) + 1) ELSE '' END, '+', ' ')))), lambda x: NOT list_contains([{_KEYS}], lower(x.k)) AND NOT starts_with(lower(x.k), 'utm_'))), lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS nq FROM p),
+o AS (SELECT *, regexp_replace('/' || p, '/+', '/', 'g') AS np FROM n)
+SELECT page_id, CASE WHEN s IN ('http', 'https') AND contains(h, '.') THEN s || '://' || h || CASE WHEN np = '/' THEN '/' ELSE regexp_replace(np, '/+$', '') END || CASE WHEN nq = '' THEN '' ELSE '?' || nq END END AS url, h AS host FROM o""")
 def u1_u3_canonical_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"), U.host(F.col("url")).alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"), U.normal_host(F.col("url")).alias("host"))
+
+
+_TOKENS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages), t AS (SELECT *, regexp_split_to_array(h, '[.-]') || regexp_split_to_array(p, '[^a-z0-9]+') AS t FROM p)
-SELECT page_id, CASE WHEN ends_with(h, '.gov') THEN 'government' WHEN ends_with(h, '.edu') THEN 'education' WHEN list_has_any(t, ['docs','documentation','developer','developers','api','apis','reference','manual','standards','standard','spec','specification','rfc']) THEN 'official_docs' WHEN list_has_any(t, ['research','science','scientific','laboratory','journal','preprint','publication']) THEN 'science'
- WHEN list_has_any(t, ['changelog','release','releases','engineering','software','package','migration']) THEN 'software' WHEN list_has_any(t, ['blog','technical','technology','architecture']) THEN 'technical' WHEN list_contains(t, 'news') THEN 'reporting' ELSE 'general' END AS category FROM t""")
+@query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p, CASE page_id % 13 WHEN 0 THEN 'gov.uk' WHEN 1 THEN 'ac.uk' ELSE 'com' END AS suffix FROM pages), t AS (SELECT *, regexp_split_to_array(h, '[._-]') || regexp_split_to_array(p, '[/._-]') AS t FROM p)
+SELECT page_id, CASE WHEN list_contains({_TOKENS(U.GOVERNMENT_SUFFIXES)}, suffix) OR ends_with(h, '.gov') OR contains(h, '.gov.') THEN 'government' WHEN list_contains({_TOKENS(U.EDUCATION_SUFFIXES)}, suffix) OR ends_with(h, '.edu') THEN 'education' {" ".join(f"WHEN list_has_any(t, {_TOKENS(words)}) THEN '{name}'" for name, words in U.CATEGORY_TOKENS)} WHEN regexp_matches(p, '{U.DATE_PATH}') THEN 'reporting' ELSE 'general' END AS category FROM t""")
 def u4_category(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.category(F.col("url")).alias("category"))
+    """With the registry suffix that a crawl index has, made from page_id."""
+    suffix = F.when(F.col("page_id") % 13 == 0, "gov.uk").when(F.col("page_id") % 13 == 1, "ac.uk").otherwise("com")
+    return table(spark, sf_dir, "pages").select("page_id", U.category(F.col("url"), suffix).alias("category"))
 
 
-@query(r"SELECT page_id, regexp_matches(url, '^https?://[a-z0-9]([a-z0-9.-]*[a-z0-9])?\.[a-z]{2,}(/|\?|#|$)') AS published FROM pages")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN replace(url, '://', '://user@') WHEN 1 THEN regexp_replace(url, '^([a-z]+://[^/?#]*)', '\1:8080') WHEN 2 THEN upper(url) WHEN 3 THEN 'http://localhost/' WHEN 4 THEN url || ' x' ELSE url END AS u FROM pages) SELECT page_id, regexp_matches(lower(u), '^https?://[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+(:[0-9]{0,5})?([/?#][^ ]*)?$') AS published FROM p""")
 def u6_published_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").rlike(r"^https?://[a-z0-9]([a-z0-9.-]*[a-z0-9])?\.[a-z]{2,}(/|\?|#|$)").alias("published"))
+    """With users, ports, upper case, one-label hosts and white space in some."""
+    u, m = F.col("url"), F.col("page_id") % 9
+    odd = F.when(m == 0, F.replace(u, F.lit("://"), F.lit("://user@"))).when(m == 1, F.regexp_replace(u, "^([a-z]+://[^/?#]*)", "$1:8080")).when(m == 2, F.upper(u)).when(m == 3, "http://localhost/").when(m == 4, F.concat(u, F.lit(" x"))).otherwise(u)
+    return table(spark, sf_dir, "pages").select("page_id", U.published(odd).alias("published"))
 
 
-@query(r"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, epoch_us(ts) AS micros, CAST(ts AS DATE) AS day FROM events")
+@query(r"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, epoch_us(ts) AS micros, CASE WHEN event_id % 8 = 7 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events""")
 def u7_u8_times(spark, sf_dir):
+    """Days from times, ISO dates with - and /, month day year, day month year, short months, and none from others."""
     from ..functions import dates as D
 
-    return table(spark, sf_dir, "events").select("event_id", D.iso(F.col("ts")).alias("iso"), D.micros(F.col("ts").cast("timestamp")).alias("micros"), D.publication_date(D.iso(F.col("ts"))).alias("day"))
+    ts, m = F.col("ts"), F.col("event_id") % 8
+    shown = F.when(m == 0, D.iso(ts))
+    for k, form in enumerate(("yyyy-MM-dd HH:mm", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"), 1):
+        shown = shown.when(m == k, F.date_format(ts, form))
+    return table(spark, sf_dir, "events").select("event_id", D.iso(ts).alias("iso"), D.micros(ts.cast("timestamp")).alias("micros"), D.publication_date(shown.otherwise("in spring")).alias("day"))
 
 
 @query(r"""SELECT doc_id, round(CAST('0x' || left(sha256('7' || chr(0) || source || chr(0) || doc_id), 13) AS BIGINT) / 4503599627370496.0, 9) AS fraction, CASE WHEN CAST('0x' || left(sha1(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split, CAST(CAST('0x' || left(sha256(text), 15) AS BIGINT) % 64 AS BIGINT) AS bucket FROM documents""")
@@ -288,16 +368,17 @@ def u13_affine_minhash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.affine_minhash()(T.found(F.col("text"), T.WORD)).alias("signature"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM documents), g AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS g FROM w WHERE len(w) >= 5), s AS (SELECT doc_id, lang, k, min(md5(k || ':' || g)) AS m FROM g, (SELECT unnest(range(0, 8)) AS k) GROUP BY ALL)
-SELECT doc_id, sha256(lang || '|0|' || string_agg(m, ',' ORDER BY k) FILTER (k < 4)) AS band0, sha256(lang || '|1|' || string_agg(m, ',' ORDER BY k) FILTER (k >= 4)) AS band1 FROM s GROUP BY doc_id, lang""")
+@query(r"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM documents), g AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: CAST('0x' || left(md5(array_to_string(w[i:i+4], ' ')), 8) AS BIGINT)))) AS h FROM w WHERE len(w) >= 5),
+ab AS (SELECT k, CAST((k + 1) * 2654435761 % 1073741789 AS BIGINT) AS a, CAST((k + 1) * 40503 * 65537 % 1073741827 AS BIGINT) AS b FROM (SELECT unnest(range(0, 128)) AS k)), s AS (SELECT doc_id, lang, k, min((a * h + b) % 2147483647) AS m FROM g, ab GROUP BY ALL)
+SELECT doc_id, CAST(k // 8 AS INTEGER) AS band, sha256(lang || '|' || k // 8 || '|' || string_agg(m, ',' ORDER BY k)) AS key FROM s GROUP BY doc_id, lang, k // 8""")
 def u13_u16_minhash_bands(spark, sf_dir):
-    from ..operators.dedup import band_keys
+    """Keys of 16 bands of 8 of 128 minima, with the comparison's scope in them."""
+    from ..operators.dedup import band_keys, signatures
 
     words = F.transform(T.found(F.col("text"), T.WORD), F.lower)
-    grams = F.array_distinct(F.transform(T.windows(words, 5), lambda w: F.array_join(w, " ")))
-    signed = table(spark, sf_dir, "documents").select("doc_id", "lang", H.md5_minhash(grams, 8).alias("s")).where("size(s) > 0")
-    keys = band_keys(F.col("s"), 4, F.col("lang"))
-    return signed.select("doc_id", keys.alias("k")).select("doc_id", F.get("k", F.lit(0)).alias("band0"), F.get("k", F.lit(1)).alias("band1"))
+    shingles = F.array_distinct(F.transform(T.windows(words, 5), lambda w: H.short_hash(F.array_join(w, " "))))
+    signed = signatures(table(spark, sf_dir, "documents").select("doc_id", "lang", shingles.alias("s")), "s", 128)
+    return signed.select("doc_id", F.posexplode(band_keys(F.col("s"), 8, F.col("lang"))).alias("band", "key"))
 
 
 @query(r"SELECT doc_id, CAST(greatest(2, ceil(0.002 * length(text))) AS BIGINT) AS required FROM documents")
@@ -323,12 +404,13 @@ def t48_u26_coercions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') AS DOUBLE)").alias("rating"), F.expr("try_cast(event_type AS DOUBLE)").alias("not_a_number"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'repository_fork' WHEN doc_id % 19 = 0 THEN 'lockfile' WHEN doc_id % 13 = 0 THEN 'vendored_or_build_tree' WHEN doc_id % 11 = 0 THEN 'generated_or_minified_path'
- WHEN regexp_matches(lower(left(text, 4000)), '@generated|auto-generated|automatically generated') THEN 'generated_file_header' WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 20000 OR (length(text) / len(string_split(text, chr(10))) > 500 AND len(string_split(text, chr(10))) >= 8) THEN 'probable_minified_or_blob' END AS reason FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, text, list_transform(regexp_split_to_array(regexp_replace(text, '(\r\n|[LB])$', ''), '\r\n|[LB]'), lambda x: length(x)) AS n FROM documents) SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'repository_fork' WHEN doc_id % 29 = 0 THEN 'vendored_file' WHEN doc_id % 31 = 0 THEN 'generated_file' WHEN doc_id % 19 = 0 THEN 'lockfile' WHEN doc_id % 13 = 0 THEN 'vendored_or_build_tree' WHEN doc_id % 11 = 0 THEN 'generated_or_minified_path'
+ WHEN regexp_matches(lower(left(text, 4000)), '@generated|auto-generated|automatically generated') THEN 'generated_file_header' WHEN doc_id % 23 = 0 OR doc_id % 37 = 0 THEN 'benchmark_solution_repository' WHEN list_max(n) > 20000 OR (list_sum(n) / len(n) > 500 AND len(n) >= 8) THEN 'probable_minified_or_blob' END AS reason FROM t""".replace("LB", T.LINE_ENDS))
 def f11_code_hygiene(spark, sf_dir):
     d = F.col("doc_id")
     where = F.when(d % 19 == 0, "app\\Yarn.lock").when(d % 13 == 0, "./src/node_modules/a.js").when(d % 11 == 0, "web/site.min.js").otherwise("src/main.py")
-    reason = R.code_hygiene_reason(F.col("text"), where, F.col("source"), d % 17 == 0, F.lit(False))
+    name = F.when(d % 23 == 0, "me/MMLU-Pro").when(d % 37 == 0, "you/my-leetcode-solutions").otherwise("me/mmluck")
+    reason = R.code_hygiene_reason(F.col("text"), where, name, d % 17 == 0, F.lit(False), vendored=d % 29 == 0, generated=d % 31 == 0)
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", reason.alias("reason"))
 
 

@@ -11,8 +11,10 @@ import gzip
 import io
 import json
 import lzma
+import re
 import tarfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,18 +128,31 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def http_text(body: bytes) -> tuple[int, str, str]:
-    """(status, mime, text) of an HTTP response."""
+def http_head(body: bytes) -> tuple[int, dict[str, str], bytes]:
+    """(status, headers, payload as it was sent) of an HTTP response."""
     raw, _, payload = body.partition(b"\r\n\r\n")
     lines = raw.decode("latin-1").split("\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    if fields.get("transfer-encoding", "").lower() == "chunked":
-        payload = unchunked(payload)
-    if fields.get("content-encoding", "").lower() == "gzip":
-        payload = gzip.decompress(payload)
-    kind, _, rest = fields.get("content-type", "").partition(";")
-    charset = rest.partition("charset=")[2].strip(' "') or "utf-8"
-    return int(lines[0].split()[1]), kind.strip().lower(), payload.decode(charset, "replace")
+    return int(lines[0].split()[1]), {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, payload
+
+
+def http_body(fields: dict[str, str], payload: bytes) -> str:
+    """The text of a payload after its encodings."""
+    plain = unchunked(payload) if fields.get("transfer-encoding", "").lower() == "chunked" else payload
+    encoding = fields.get("content-encoding", "").lower()
+    if encoding in ("gzip", "x-gzip", "zstd"):
+        plain = unpacked("body", plain)
+    elif encoding == "deflate":
+        plain = zlib.decompress(plain)
+    elif encoding not in ("", "identity"):
+        raise ValueError(f"content encoding {encoding}")
+    charset = fields.get("content-type", "").partition("charset=")[2].split(";")[0].strip(" '\"") or "utf-8"
+    return plain.decode(charset, "replace")
+
+
+def http_text(body: bytes) -> tuple[int, str, str]:
+    """(status, mime, text) of an HTTP response."""
+    status, fields, payload = http_head(body)
+    return status, fields.get("content-type", "").partition(";")[0].strip().lower(), http_body(fields, payload)
 
 
 def read_warc(spark: SparkSession, path: str, mimes: tuple[str, ...] = ("text/html", "text/plain"), pattern: str = "*.gz") -> DataFrame:
@@ -196,6 +211,11 @@ def first_text(*fields: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(f) != "", f) for f in fields])
 
 
+def sections(parts: Mapping[str, Column]) -> Column:
+    """Name and body of the parts that aren't blank, one under the other."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.trim(v) != "", F.concat(F.lit(f"{k}:\n"), v)) for k, v in parts.items()])), "\n\n")
+
+
 def extracted(rows: DataFrame, order: tuple[str, ...] = ("text", "content", "code", "body", "document")) -> DataFrame:
     """rows with training_text: the first text field, else files or pages joined where there are such arrays."""
     fields = [F.col(c) for c in order if c in rows.columns]
@@ -212,3 +232,45 @@ def is_pointer(text: Column) -> Column:
 def canonical_json(value) -> str:
     """Sorted keys, compact, no NaN."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def simple_name(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+
+
+def load_source(spark: SparkSession, spec: Mapping) -> DataFrame:
+    """A source by its description: format (parquet, jsonl, json.gz and others of read_documents, text, warc, xml, tar), path, schema, words that file names have or don't
+    have (letters and digits alone count), and part_index of part_count of its files in order of name."""
+    kind, path = spec["format"], spec["path"]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    name = simple_name(F.element_at(F.split("path", "/"), -1))
+    words = lambda key: [w for w in (re.sub("[^a-z0-9]+", "", x.lower()) for x in spec.get(key, ())) if w]
+    for key, wanted in (("include", True), ("exclude", False)):
+        if words(key):
+            files = files.where(F.exists(F.array(*map(F.lit, words(key))), lambda w: F.contains(name, w)) == wanted)
+    # names are control data: as many as a source has files
+    names = [r["path"] for r in files.orderBy("path").collect() if not r["path"].rsplit("/", 1)[-1].startswith((".", "_"))]
+    count, index = spec.get("part_count", 1), spec.get("part_index", 0)
+    if not 0 <= index < count:
+        raise ValueError(f"no part {index} of {count}")
+    names = names[index::count]
+    if not names:
+        return spark.createDataFrame([], spec["schema"])
+    if kind == "parquet":
+        return spark.read.parquet(*names)
+    if kind == "text":
+        return spark.read.text(names, wholetext=True).select(F.col("value").alias("text"))
+    if kind in ("jsonl", "json.gz", "jsonl.gz"):
+        return spark.read.schema(spec["schema"]).option("mode", "DROPMALFORMED").json(names)
+    raise ValueError(f"no reader for {kind}")
+
+
+def expanded_receipts(receipts: DataFrame, key: str) -> DataFrame:
+    """(key, shard, path, payload_role) of the files that receipts with kind, payload_role, local_path and shards name: the shards of a data set, or a file by
+    itself. Indexes hold no records."""
+    live = receipts.where(~F.coalesce("payload_role", F.lit("")).isin("source_index", "metadata_index", "retrieval_index"))
+    wrapped = F.coalesce("kind", F.lit("")) == "materialized_dataset"
+    role = F.coalesce("payload_role", F.lit("training_records"))
+    shards = live.where(wrapped).select(key, F.explode("shards").alias("s"), F.lit("training_records").alias("payload_role")).select(key, "s.shard", "s.path", "payload_role")
+    alone = live.where(~wrapped & F.col("local_path").isNotNull()).select(key, F.lit(None).cast(shards.schema["shard"].dataType).alias("shard"), F.col("local_path").alias("path"), role.alias("payload_role"))
+    return shards.unionByName(alone)

