@@ -136,12 +136,43 @@ def has_secret(text: Column) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in SECRETS.values()))
 
 
+def features(text: Column) -> dict[str, Column]:
+    """What the quality rules read of a text. As columns of a table they are computed once a row, however many rules name them."""
+    n, words = F.length(text).cast("bigint"), number_of(text, QUALITY_WORD)
+    return {
+        "characters": n,
+        "words": words,
+        "alpha_fraction": fraction(alpha_chars(text), n),
+        "symbol_fraction": fraction(symbol_chars(text), n),
+        "repeated_line_fraction": repeated_line_fraction(text),
+        "url_density_per_100_words": fraction(number_of(text, r"(?i)https?://\S+") * 100.0, words),
+        "contains_secret": has_secret(text),
+        "distinct_personal_contacts": contacts(text),
+        "probable_model_boilerplate": text.rlike(MODEL_BOILERPLATE),
+    }
+
+
 def sentences(text: Column) -> Column:
     """Cut after a run of . ! ? that white space or the end follows, and at newlines; collapsed, without blank ones."""
     marked = F.regexp_replace(text, r"([.!?]+)(\s+|$)", "$1\x01")
     return F.filter(F.transform(F.split(marked, "[\x01\n]"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
+def sentence_spans(text: Column) -> Column:
+    """[start, end) of each sentence, cut as `sentences` cuts, without the white space at its ends."""
+    # a piece ends after its marks, or after a line end that it keeps
+    pieces = F.split(F.regexp_replace(text, r"([.!?]+)(?=\s|$)", "$1\x01"), "\x01|(?<=\n)")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        own, n = F.regexp_replace(p, r"^\s+|\s+$", ""), F.length(p)
+        lead = n - F.length(F.regexp_replace(p, r"^\s+", ""))
+        span = F.struct((s["at"] + lead).alias("start"), (s["at"] + lead + F.length(own)).alias("end"))
+        return F.struct((s["at"] + n).alias("at"), F.when(own != "", F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once a row, also where use names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

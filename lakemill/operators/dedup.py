@@ -169,5 +169,20 @@ def greedy_simhash(docs: DataFrame, fp: str, radius: int = 3, key: str = "doc_id
     return bands.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "band").join(other, "band").where("a < b").withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("bigint")).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
+def exact_and_near(rows: DataFrame, key: str, digest: str, fp: str, order: Sequence[Column], radius: int, components) -> DataFrame:
+    """(key, reason): exact_lower_priority for what is not its digest's first by order, near_duplicate for what is not the first of a component of fingerprints
+    within the radius (3 at most), null for what stays. components gives (node, component) of edges (u, v)."""
+    first = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    ranked = rows.select(key, digest, fp, first.alias("_o"))
+    kept = ranked.groupBy(digest).agg(F.min_by(F.struct(key, fp, "_o"), "_o").alias("w")).select("w.*")
+    # fingerprints are nodes, so copies of one are a component by themselves
+    pairs = greedy_simhash(kept.select(F.col(fp).alias("id"), F.col(fp).alias("fp")), "fp", radius, "id").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(pairs)
+    named = kept.join(found, kept[fp] == found["node"], "left").withColumn("_c", F.coalesce("component", F.col(fp)))
+    keepers = named.groupBy("_c").agg(F.min_by(key, "_o").alias("_k"))
+    near = named.join(keepers, "_c").select(key, F.when(F.col(key) != F.col("_k"), "near_duplicate").alias("_r"), F.lit(True).alias("_w"))
+    return rows.select(key).join(near, key, "left").select(key, F.when(F.col("_w").isNull(), "exact_lower_priority").otherwise(F.col("_r")).alias("reason"))
+
+
 def first_of(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")

@@ -45,7 +45,7 @@ def equation_integrity(text: Column) -> Column:
 
 # Lines of code, and lines of prose.
 CODE_LINE = r"(?i)^\s*(?:```|~~~|#include\b|(?:async\s+)?def\b|class\b|function\b|import\b|from\s+\S+\s+import\b|(?:const|let|var)\b|SELECT\b|(?:if|for|while)\s*\(|[\w.\[\]]+\s*=\s*\S+|[{};]\s*$)"
-PROSE_LINE = r"[A-Za-z]{3,}(?:\s+[A-Za-z]{3,}){4,}"
+PROSE_LINE = r"[A-Za-z]{3,}(?:\s+[A-Za-z]{3,}){4}"
 
 
 def interleave_score(text: Column) -> Column:
@@ -300,8 +300,9 @@ def quoted_at(source: str, start: int, at: int) -> bool:
     return bool(quote)
 
 
+# Strings are runs without escapes between escapes, so that the JVM's matcher doesn't recurse once a character.
 # Tokens of code, words that a skeleton keeps, marks by which code is told, and heads of functions with braces.
-CODE_TOKEN = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|===|!==|==|!=|<=|>=|=>|->|::|\+\+|--|&&|\|\||<<|>>|\*\*|[{}()\[\];,.?:+\-*/%&|^~<>=!])"""
+CODE_TOKEN = r"""(?:"[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`\\]*(?:\\.[^`\\]*)*`|[A-Za-z_$][A-Za-z0-9_$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|===|!==|==|!=|<=|>=|=>|->|::|\+\+|--|&&|\|\||<<|>>|\*\*|[{}()\[\];,.?:+\-*/%&|^~<>=!])"""
 KEYWORDS = "and as assert async await break case catch class const continue def delete do else elif enum except export extends false finally fn for from function go if import in interface let match namespace new nil none not null of or package private protected public raise return static struct super switch this throw trait true try type typeof use var while with yield".split()
 CODE_MARK = r"(?:^\s*(?:def|class|function|fn|public|private|package|import|from|#include)\b|(?:assert|return|throw|raise)\s+|=>|::|\{[^}]*\}|\[[^]]*\]\s*=)"
 BRACE_HEAD = r"(?m)^[ \t]*(?:[A-Za-z_$][\w$<>:\[\],*&? ]+[ \t]+)?[A-Za-z_$][\w$]*[ \t]*\([^;{}\n]{0,500}\)[ \t]*(?:const[ \t]*)?\{"

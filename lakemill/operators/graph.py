@@ -20,7 +20,17 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lakemill/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of cut() that no later result reads."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,12 +40,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    last = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["u"]).select("node", "label", F.least("label", "near").alias("new"))
         jump = step.join(step.select(F.col("node").alias("_n"), F.col("new").alias("_up")), F.col("new") == F.col("_n"), "left")
         after = cut(jump.select("node", F.least("new", F.coalesce("_up", "new")).alias("label"), F.col("label").alias("old")))
         changed = after.where("label <> old").limit(1).count()
-        labels = after.drop("old")
+        forget(last)
+        labels, last = after.drop("old"), after
         if not changed:
+            forget(both)
             return labels.withColumnRenamed("label", "component")

@@ -66,3 +66,43 @@ def token_shards(counts: DataFrame, capacity: int, key: str = "doc_id") -> DataF
     each = spans.withColumn("shard", F.explode(F.sequence(F.floor(F.col("a") / capacity), F.floor((F.col("b") - 1) / capacity))))
     lo, hi = F.greatest("a", F.col("shard") * capacity), F.least("b", (F.col("shard") + 1) * capacity)
     return each.select("shard", (lo - F.col("shard") * capacity).alias("offset"), key, (lo - F.col("a")).alias("start"), (hi - lo).alias("length"))
+
+
+def write_binary_shards(rows: DataFrame, capacity: int, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """Ids below 65,536 one document after the other in binary files of `capacity` 16-bit little-endian numbers; returns the index of spans
+    (shard, offset, key, start, length). A file is made from the slices of its shard, so no task holds more than that."""
+    from ..sources.sinks import write_files
+    from .graph import cut
+
+    index = cut(token_shards(rows.select(key, F.size(ids).cast("bigint").alias("token_count")), capacity, key))
+    slices = index.join(rows.select(key, ids).hint("merge"), key).select("shard", "offset", F.slice(ids, F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("part"))
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values("offset")
+        whole = np.concatenate([np.asarray(x) for x in own["part"]])
+        if len(whole) and not 0 <= int(whole.min()) <= int(whole.max()) <= 0xFFFF:
+            raise ValueError("an id does not fit 16 bits")
+        return pd.DataFrame([(f"{int(own['shard'].iloc[0]):08d}.bin", whole.astype("<u2").tobytes())], columns=["name", "data"])
+
+    write_files(slices.groupBy("shard").applyInPandas(join, "name string, data binary"), path, "name", "data")
+    return index
+
+
+def read_binary_shards(spark, path: str, index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ids) of every document from its spans in the shards; a shard that is shorter than its spans say is an error."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split(F.regexp_replace("path", r"\.bin$", ""), "/"), -1).cast("bigint").alias("shard"), "content")
+    met = index.join(files.hint("merge"), "shard").select(key, "start", "offset", "length", "content")
+
+    def cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for k, start, offset, n, data in part.itertuples(index=False):
+                own = np.frombuffer(data, "<u2")[offset : offset + n]
+                if len(own) < n:
+                    raise ValueError("a shard is shorter than its index says")
+                out.append((k, start, own.tolist()))
+            yield pd.DataFrame(out, columns=[key, "start", "part"])
+
+    kind = index.schema[key].dataType.simpleString()
+    slices = met.mapInPandas(cut_out, f"{key} {kind}, start bigint, part array<int>")
+    return slices.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])).alias("ids"))

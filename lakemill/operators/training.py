@@ -75,7 +75,7 @@ def reasoning_text(thought: Column, solution: Column, think_tags: bool) -> Colum
 def reasoning_examples(turns: DataFrame, most_user: int = 500, most_thought: int = 700, most_solution: int = 300, think_tags: bool = False, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(conv_id, user, reply) from the first two turns: both not blank and a solution not empty; each part cut, and a stock thought where there is none."""
     first = turns.groupBy(conv).agg(F.slice(F.array_sort(F.collect_list(F.struct(turn, "text"))), 1, 2).alias("m")).where("size(m) = 2")
-    both = first.select(conv, T.stripped(F.col("m")[0]["text"]).alias("u"), T.stripped(F.col("m")[1]["text"]).alias("a")).where("u <> '' AND a <> ''")
+    both = first.select(conv, T.stripped(F.get("m", F.lit(0))["text"]).alias("u"), T.stripped(F.get("m", F.lit(1))["text"]).alias("a")).where("u <> '' AND a <> ''")
     thought, solution = reasoning(F.col("a"), _tidied)
     cut = lambda c, n: T.stripped(F.substring(c, 1, n))
     parts = both.select(conv, cut(F.col("u"), most_user).alias("user"), thought.alias("t"), solution.alias("s")).where("s <> ''")

@@ -202,7 +202,7 @@ SELECT conv_id, user, {_STRIP(f"'Thought:' || chr(10) || CASE WHEN t = '' THEN '
 def a58_a69_reasoning_examples(spark, sf_dir):
     """The first two turns of each conversation as an example, in sections; the second gets a think block."""
     ranked = table(spark, sf_dir, "conversations")
-    second = ranked.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list("turn")), 2, 1)[0].alias("second"))
+    second = ranked.groupBy("conv_id").agg(F.get(F.array_sort(F.collect_list("turn")), F.lit(1)).alias("second"))
     told = ranked.join(second, "conv_id", "left").withColumn("text", F.when(F.col("turn") == F.col("second"), F.concat(F.lit("<think>"), F.substring("text", 1, 25), F.lit("</think>"), F.substr("text", F.lit(26)))).otherwise(F.col("text")))
     return G.reasoning_examples(told.select("conv_id", "turn", "text"))
 
@@ -222,14 +222,14 @@ t AS (SELECT row, pos, doc, avg(before) - avg(after) AS gain, max(before) - min(
 z AS (SELECT greatest(0.01, 3 * coalesce(max(abs(gain)), 0), 3 * coalesce(max(spread), 0)) AS noise FROM k WHERE region = 'unaffected'), a AS (SELECT * FROM k UNION ALL SELECT * REPLACE ('total' AS region) FROM k), s AS (SELECT region, repeat, sum(before) AS b, sum(after) AS c FROM l JOIN a ON l.row = a.row AND l.pos = a.pos AND l.doc = a.doc GROUP BY ALL), w AS (SELECT region, max(b) - min(b) + max(c) - min(c) AS repeat_range FROM s GROUP BY region)"""
 
 
-@query(_LOSS + " SELECT a.region, count(*) AS tokens, round(sum(gain), 4) AS loss_sum_gain, round(avg(gain), 6) AS mean_loss_gain, count(*) FILTER (abs(gain) > noise) AS tokens_above, round(max(abs(gain)), 6) AS most_change, round(any_value(repeat_range), 4) AS repeat_range FROM a JOIN w ON a.region = w.region, z GROUP BY a.region")
+@query(_LOSS + " SELECT a.region, count(*) AS tokens, round(sum(gain), 2) AS loss_sum_gain, round(avg(gain), 6) AS mean_loss_gain, count(*) FILTER (abs(gain) > noise) AS tokens_above, round(max(abs(gain)), 6) AS most_change, round(any_value(repeat_range), 2) AS repeat_range FROM a JOIN w ON a.region = w.region, z GROUP BY a.region")
 def a63_effect_summary(spark, sf_dir):
     """Gains of changed places, of those behind them in their documents, of the rest and of all, against the noise of the unaffected."""
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     rows = e.select(F.col("user_id").alias("row"), i.alias("pos"), (F.col("user_id") % 3).alias("doc"), ((F.col("event_type") == "error") | (i % 17 == 0)).alias("changed"), "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("repeat"))
     losses = rows.withColumn("before", F.col("value") + F.col("repeat") * (F.col("pos") % 5) * 0.001).withColumn("after", F.col("value") * F.when(F.col("changed"), 0.9).otherwise(0.999))
     out = G.effect_summary(losses, 0.01)
-    return out.select("region", "tokens", F.round("loss_sum_gain", 4).alias("loss_sum_gain"), F.round("mean_loss_gain", 6).alias("mean_loss_gain"), "tokens_above", F.round("most_change", 6).alias("most_change"), F.round("repeat_range", 4).alias("repeat_range"))
+    return out.select("region", "tokens", F.round("loss_sum_gain", 2).alias("loss_sum_gain"), F.round("mean_loss_gain", 6).alias("mean_loss_gain"), "tokens_above", F.round("most_change", 6).alias("most_change"), F.round("repeat_range", 2).alias("repeat_range"))
 
 
 _GROUP = "WITH r AS (SELECT o_custkey AS prompt, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 0.0 END AS c, CAST(floor(o_totalprice / 1000) + 1 AS DOUBLE) AS n, o_custkey % 3 = 1 AS thinks, CASE WHEN o_orderkey % 7 = 0 THEN 0.5 ELSE 1.0 END AS compliance FROM orders), g AS (SELECT *, avg(c) OVER p AS rate, sum(n * c) OVER p / greatest(sum(c) OVER p, 1) AS mean FROM r WINDOW p AS (PARTITION BY prompt)), b AS (SELECT *, rate * mean + (1 - rate) * 1000 AS budget FROM g), o AS (SELECT *, least(2.0, greatest(0.0, (abs(n - budget) / greatest(budget, 1) - CAST(0.1 AS DOUBLE)) / CAST(0.9 AS DOUBLE))) AS outside FROM b)"

@@ -27,13 +27,9 @@ FROM documents"""
 @query(f"""WITH f AS ({FEATURES}) SELECT doc_id, n AS chars, CAST(words AS BIGINT) AS words, round(alpha / greatest(n, 1), 6) AS alpha_fraction, round(symbols / greatest(n, 1), 6) AS symbol_fraction,
 round(CASE WHEN len(lines) > 0 THEN 1 - len(list_distinct(lines)) / len(lines) ELSE 0 END, 6) AS repeated_line_fraction, round(100.0 * urls / greatest(words, 1), 6) AS url_density FROM f""")
 def t7_text_features(spark, sf_dir):
-    t = F.col("text")
-    n, words = F.length(t).cast("bigint"), T.number_of(t, T.QUALITY_WORD)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", n.alias("chars"), words.alias("words"),
-        F.round(T.fraction(T.alpha_chars(t), n), 6).alias("alpha_fraction"), F.round(T.fraction(T.symbol_chars(t), n), 6).alias("symbol_fraction"),
-        F.round(T.repeated_line_fraction(t), 6).alias("repeated_line_fraction"), F.round(T.fraction(T.number_of(t, r"(?i)https?://\S+") * 100.0, words), 6).alias("url_density"),
-    )
+    f = T.features(F.col("text"))
+    rounded = {"alpha_fraction": "alpha_fraction", "symbol_fraction": "symbol_fraction", "repeated_line_fraction": "repeated_line_fraction", "url_density": "url_density_per_100_words"}
+    return table(spark, sf_dir, "documents").select("doc_id", f["characters"].alias("chars"), f["words"].alias("words"), *[F.round(f[name], 6).alias(alias) for alias, name in rounded.items()])
 
 
 _REASON = f"""SELECT doc_id, lang, text, CASE WHEN n < 300 THEN 'minimum_characters' WHEN n > 2000000 THEN 'maximum_characters' WHEN alpha / greatest(n, 1) < 0.45 THEN 'minimum_alpha_fraction'
@@ -112,9 +108,11 @@ _SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in T.SECRETS.values()
 """ + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS profile, {_profile_sql(name)} AS reason FROM g" for name in R.PROFILES))
 def f1_f2_every_profile(spark, sf_dir):
     """The reason of each document under each of the named profiles; the text's features are taken once."""
-    t, d = F.col("text"), table(spark, sf_dir, "documents")
-    reasons = F.array(*[F.struct(F.lit(name).alias("profile"), R.quality_reason(t, R.profile(name), _evidence()).alias("reason")) for name in R.PROFILES])
-    return d.select("doc_id", F.explode(reasons).alias("r")).select("doc_id", "r.profile", "r.reason")
+    t = F.col("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(f"f_{name}") for name, c in T.features(t).items()])
+    features = {name: F.col(f"f_{name}") for name in T.features(t)}
+    reasons = F.array(*[F.struct(F.lit(name).alias("profile"), R.quality_reason(t, R.profile(name), _evidence(), features=features).alias("reason")) for name in R.PROFILES])
+    return rows.select("doc_id", F.explode(reasons).alias("r")).select("doc_id", "r.profile", "r.reason")
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b|\b(ghp|github_pat)_[A-Za-z0-9_]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}\b|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----') AS secret,

@@ -400,7 +400,7 @@ def preference_rows(spark, sf_dir):
 @query(_ROWS + f" SELECT id, prompt, CASE WHEN r > 0 THEN b ELSE a END AS chosen, CASE WHEN r > 0 THEN a ELSE b END AS rejected, CAST(abs(r) AS DOUBLE) AS pair_weight FROM (SELECT id, prompt, answers[1] AS a, answers[2] AS b, ratings[2] - ratings[1] AS r FROM g WHERE len(answers) >= 2) WHERE r <> 0 AND {_CODED('prompt', 'a', 'b')}")
 def c5_preferred_of_two(spark, sf_dir):
     """Two answers and a signed preference, ties and code left out."""
-    two = preference_rows(spark, sf_dir).where("size(answers) >= 2").select("id", "prompt", F.col("answers")[0].alias("a"), F.col("answers")[1].alias("b"))
+    two = preference_rows(spark, sf_dir).where("size(answers) >= 2").select("id", "prompt", F.get("answers", F.lit(0)).alias("a"), F.get("answers", F.lit(1)).alias("b"))
     return C.preferred_of_two(two, F.col("prompt"), F.col("a.answer"), F.col("b.answer"), F.col("b.rating") - F.col("a.rating"), ["id"], drop_code=True)
 
 
@@ -434,5 +434,5 @@ def c5_verified_generations(spark, sf_dir):
 @query(_ROWS + " SELECT id, CASE WHEN id % 2 = 0 THEN prompt ELSE 'instead' END AS prompt, answers[1] AS chosen, answers[2] AS rejected, CAST(1 AS DOUBLE) AS pair_weight FROM g WHERE len(answers) >= 2")
 def c5_named_pairs(spark, sf_dir):
     """By the first column name that is there and filled."""
-    two = preference_rows(spark, sf_dir).where("size(answers) >= 2").select("id", F.when(F.col("id") % 2 == 0, F.col("prompt")).otherwise("").alias("prompt"), F.lit("instead").alias("question"), F.col("answers")[0]["answer"].alias("chosen_response"), F.col("answers")[1]["answer"].alias("rejected"))
+    two = preference_rows(spark, sf_dir).where("size(answers) >= 2").select("id", F.when(F.col("id") % 2 == 0, F.col("prompt")).otherwise("").alias("prompt"), F.lit("instead").alias("question"), F.get("answers", F.lit(0))["answer"].alias("chosen_response"), F.get("answers", F.lit(1))["answer"].alias("rejected"))
     return C.named_pairs(two, ["prompt", "instruction", "question", "input"], ["chosen", "chosen_response"], ["rejected", "rejected_response"], ["id"])

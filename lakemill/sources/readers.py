@@ -274,3 +274,37 @@ def expanded_receipts(receipts: DataFrame, key: str) -> DataFrame:
     shards = live.where(wrapped).select(key, F.explode("shards").alias("s"), F.lit("training_records").alias("payload_role")).select(key, "s.shard", "s.path", "payload_role")
     alone = live.where(~wrapped & F.col("local_path").isNotNull()).select(key, F.lit(None).cast(shards.schema["shard"].dataType).alias("shard"), F.col("local_path").alias("path"), role.alias("payload_role"))
     return shards.unionByName(alone)
+
+
+def file_components(rows: DataFrame, key: str, files: str = "files", text: str = "text") -> DataFrame:
+    """(key, component, body, license, file_count, rejection): a document for each of an object's files, in order, with the object's licence where the file has none;
+    files without text and pointers are refused, and an object without files is one refused row."""
+    each = rows.select(key, F.size(files).alias("file_count"), F.col("license").alias("_own"), F.posexplode(files).alias("_i", "_f"))
+    body = F.col("_f")[text]
+    told = each.select(key, F.concat(F.lit("files/"), F.col("_i").cast("string")).alias("component"), body.alias("body"), F.coalesce(F.nullif(F.col("_f.license"), F.lit("")), "_own").alias("license"), "file_count", F.when(body.isNull() | is_pointer(body), "pointer_only_code").alias("rejection"))
+    none = rows.where(F.size(files) == 0).select(key, F.lit("row").alias("component"), F.lit(None).cast("string").alias("body"), "license", F.lit(0).alias("file_count"), F.lit("empty_file_list").alias("rejection"))
+    return told.unionByName(none)
+
+
+# Names under which a row's JSON may hold each field, in order, and licences that say nothing.
+ALIASES = {"language": ["language", "lang", "doc_language"], "canonical_url": ["canonical_url", "url", "source_url", "original_url"]}
+LICENSE_FIELDS = ["license", "licenses", "license_spdx", "license_id", "detected_licenses"]
+LINEAGE_FIELDS = ["source_dataset", "hf_dataset_name", "seed_source", "dataset", "dataset_name", "seed_dataset", "upstream_dataset"]
+NO_LICENSE = ["", "none", "null", "unknown", "n/a", "noassertion", "unlicensed"]
+
+
+def projected_metadata(rows: DataFrame, metadata: str) -> DataFrame:
+    """rows with language, canonical_url, license and source_dataset from their aliases in the JSON text, and language_field and url_field, the names that had them. A
+    list of licences is joined by commas, each once; those that say nothing don't count."""
+    get = lambda name: F.nullif(F.get_json_object(metadata, f"$.{name}"), F.lit(""))
+    first = lambda names: F.coalesce(*[get(n) for n in names])
+    which = lambda names: F.coalesce(*[F.when(get(n).isNotNull(), F.lit(n)) for n in names])
+
+    def license_of(name: str) -> Column:
+        value = F.get_json_object(metadata, f"$.{name}")
+        listed = F.coalesce(F.from_json(value, "array<string>"), F.array(value))
+        known = F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & ~F.lower(F.trim(x)).isin(NO_LICENSE)))
+        return F.when(F.size(known) > 0, F.array_join(known, ","))
+
+    told = {"language": first(ALIASES["language"]), "language_field": which(ALIASES["language"]), "canonical_url": first(ALIASES["canonical_url"]), "url_field": which(ALIASES["canonical_url"]), "license": F.coalesce(*[license_of(n) for n in LICENSE_FIELDS]), "source_dataset": first(LINEAGE_FIELDS)}
+    return rows.select("*", *[c.alias(n) for n, c in told.items()])

@@ -139,3 +139,37 @@ def test_shards_and_strata(spark):
     filled = run(spark, "l18_balanced_fill")
     total = sum(x["n_chars"] for x in rows(spark, "documents"))
     assert total // 2 <= sum(x["n"] for x in filled) and filled[0]["lang"] == "en"
+
+
+def test_sentence_spans(spark):
+    from pyspark.sql import functions as F
+
+    from lakemill.functions import text as T
+
+    texts = ["One. Two!?  Three\nFour", "a.b c", "", "..!? x", "  lead\n\n tail.  ", "no end", "x.\n\ny.\tz"]
+
+    def by_hand(text):
+        out, start = [], 0
+        for m in [*re.finditer(r"[.!?]+(?=\s|$)|\n", text), None]:
+            end = len(text) if m is None else m.end()
+            piece = text[start:end]
+            if piece.strip():
+                out.append((start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())))
+            start = end
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").orderBy("id")
+    got = df.select(T.sentence_spans(F.col("text")), T.sentences(F.col("text"))).collect()
+    assert [[tuple(s) for s in r[0]] for r in got] == [by_hand(t) for t in texts]
+    assert [[" ".join(t[a:b].split()) for a, b in by_hand(t)] for t in texts] == [r[1] for r in got]
+
+
+def test_dense_ids(spark):
+    import unicodedata
+
+    seen = {}
+    for x in sorted(rows(spark, "documents"), key=lambda x: x["doc_id"]):
+        plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", x["text"] or ""))
+        for w in WORD.findall(" ".join("".join(c for c in plain if unicodedata.category(c) != "Mn").lower().split())):
+            seen.setdefault(w, len(seen))
+    assert {x["token"]: x["id"] for x in run(spark, "t50_dense_ids")} == seen
