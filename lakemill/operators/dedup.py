@@ -55,10 +55,30 @@ def span_candidates(signatures: DataFrame, prefix: int = 32, key: str = "doc_id"
     return rows.join(several, "_p", "left_semi").drop("_p")
 
 
+def _span_hashes(docs: DataFrame, size: int, least_words: int, key: str, text: str, order: Column) -> DataFrame:
+    """(key, _order, pos, h): 64-bit hashes of the windows with the least words; words are counted once a sentence."""
+    told = docs.select(key, order.alias("_order"), T.sentences(F.col(text)).alias("_s"))
+    rows = told.select(key, "_order", F.transform("_s", F.lower).alias("_l"), F.transform("_s", lambda s: T.number_of(s, T.WORD)).alias("_n"))
+    words = lambda i: sum((F.get("_n", i + k) for k in range(1, size)), F.get("_n", i))
+    spans = F.transform(F.sequence(F.lit(0), F.size("_l") - size), lambda i: F.struct(F.xxhash64(F.slice("_l", i + 1, size)).alias("h"), words(i).alias("w")))
+    each = rows.select(key, "_order", F.posexplode(F.when(F.size("_l") >= size, spans)).alias("pos", "x"))
+    return each.where(F.col("x.w") >= least_words).select(key, "_order", "pos", "x.h")
+
+
 def shared_spans(docs: DataFrame, size: int = 3, least_words: int = 24, key: str = "doc_id", text: str = "text", order: Column | None = None) -> DataFrame:
-    """(key, pos, digest, keeper): every window of `size` sentences that two documents or more hold, with the document that keeps it."""
-    spans = span_signatures(docs, size, least_words, key, text, (order if order is not None else F.col(key)).alias("_order"))
+    """(key, pos, digest, keeper): every window of `size` sentences that two documents or more hold, with the document that keeps it.
+
+    Short hashes of all windows tell which may be shared; whole digests are made of those alone, from the texts of their documents.
+    """
+    from .graph import cut
+
+    first = order if order is not None else F.col(key)
+    hashes = cut(_span_hashes(docs, size, least_words, key, text, first))
     # two documents, not two places: compares the smallest and largest key, so nothing is gathered
+    several = hashes.groupBy("h").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("h")
+    places = hashes.join(several.hint("merge"), "h", "left_semi").groupBy(key).agg(F.collect_set("pos").alias("_p"))
+    near = docs.join(places.withColumnRenamed(key, "_k").hint("merge"), F.col(key) == F.col("_k")).select(key, first.alias("_order"), T.sentences(F.col(text)).alias("_s"), "_p")
+    spans = cut(near.select(key, "_order", "_s", F.explode("_p").alias("pos")).select(key, "_order", "pos", span_digest(F.slice("_s", F.col("pos") + 1, size)).alias("digest")))
     shared = spans.groupBy("digest").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.min_by(key, F.struct("_order", key)).alias("keeper")).where("a <> b").select("digest", "keeper")
     return spans.join(shared, "digest").select(key, "pos", "digest", "keeper")
 

@@ -183,3 +183,27 @@ def c7_missing_from_cache(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content"))
     cached = rows.where("doc_id % 2 = 0").select("content").distinct()
     return rows.join(cached, "content", "left_anti").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.9 END AS given, {_LINES} AS lines, length(text) AS n, len(regexp_extract_all(text, '{T.QUALITY_WORD.replace("'", "''")}')) AS words, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS alpha, len(regexp_extract_all(text, '(?i)https?://\S+')) AS urls, n - length(regexp_replace(text, '[\x{{FFFD}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')) AS broken FROM documents)
+SELECT doc_id, CASE WHEN given IS NULL THEN 'computed_quality' ELSE 'upstream_field' END AS method, round(coalesce(given, round(greatest(0.0, least(1.0, 0.20 * least(1.0, sqrt(n / 2000.0)) + 0.25 * greatest(0.0, least(1.0, (alpha / greatest(n, 1) - CAST(0.30 AS DOUBLE)) / 0.35)) + 0.20 * greatest(0.0, 1 - CASE WHEN len(lines) > 0 THEN 1 - len(list_distinct(lines)) / len(lines) ELSE 0 END) + 0.15 * greatest(0.0, 1 - (100.0 * urls / greatest(words, 1)) / 4.0) + 0.20 * greatest(0.0, 1 - broken / greatest(n, 1) * 250.0))), 6)), 6) AS quality_score FROM d""")
+def f1_evidence_precedence(spark, sf_dir):
+    """A quality score that came with a row, else one from its text, and by which way it came."""
+    from ..operators import normalization as N
+
+    given = F.when(F.col("doc_id") % 3 == 0, 0.9)
+    value, method = N.derive(F.col("text"), ["quality_score"], {"quality_score": given})["quality_score"]
+    return table(spark, sf_dir, "documents").select("doc_id", method.alias("method"), F.round(value, 6).alias("quality_score"))
+
+
+@query()
+def f1_derived_gates(spark, sf_dir):
+    """Each document through the gate of one of eight profiles, with evidence derived from its text; tested against the rules one by one."""
+    from ..operators import normalization as N
+
+    names = ["web_general_v1", "code_interleaved_v1", "math_score3_v1", "pdf_technical_v1", "scientific_paper_v1", "textbook_v1", "explanatory_qa_v1", "repository_code_v1"]
+    docs, out = table(spark, sf_dir, "documents"), None
+    for i, name in enumerate(names):
+        part = N.gate(docs.where(F.col("doc_id") % len(names) == i), name, {"license": F.lit("CC BY 4.0")}, {"title": F.lit("T"), "path": F.lit("a.py")}).select("doc_id", F.lit(name).alias("profile"), "reason", "decision")
+        out = part if out is None else out.unionByName(part)
+    return out

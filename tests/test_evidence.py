@@ -141,3 +141,24 @@ def test_shard_places():
     assert E.shard_places([4, 5], 6, 2, [0, 0]) == [[(0, 0, 4)], [(0, 4, 2), (1, 0, 3)]]
     with pytest.raises(ValueError):
         E.shard_places([20], 6, 2, [0])
+
+
+def test_derived_gates(spark):
+    from lakemill.operators import normalization as N
+    from lakemill.operators import reasons as R
+
+    assert N.needed(R.profile("pdf_technical_v1")) == ["ocr_confidence", "language_probability", "repeated_header_footer_fraction", "reading_order_passed"]
+    assert {f for p in R.PROFILES for f in N.needed(R.profile(p))} >= set(N.COMPUTED)
+    words = "the cat and the dog are in a house with all of their friends because they should be there for two days "
+    rows = [words * 10, "What is it? " + words * 10, words * 2, "x = 1\n" * 40 + words * 10 + "\n" + (words + "\n") * 30]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+
+    def run(name, upstream=None, **own):
+        return [r["reason"] for r in N.gate(df, name, upstream, maximum_repeated_line_fraction=None, **own).orderBy("id").collect()]
+
+    lic = {"license": F.lit("MIT")}
+    assert run("explanatory_qa_v1", lic) == ["missing_question_and_answer", None, "minimum_characters", "missing_question_and_answer"]
+    assert run("explanatory_qa_v1") == ["missing_license", "missing_license", "minimum_characters", "missing_license"]
+    assert run("math_score3_v1", {"math_score": F.lit(5.0)}, minimum_characters=None, quality_score_minimum=None)[:2] == ["missing_equation_integrity_passed"] * 2
+    assert run("web_general_v1", {"quality_score": F.lit(0.1)}) == ["quality_score_minimum", "quality_score_minimum", "minimum_characters", "quality_score_minimum"]
+    assert run("web_general_v1", {"language_probability": F.lit(0.5), "quality_score": F.lit(1.0)}) == ["language_probability_minimum", "language_probability_minimum", "minimum_characters", "language_probability_minimum"]
