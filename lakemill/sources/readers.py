@@ -1,7 +1,7 @@
 """Rows from files: Parquet, JSON lines (plain, gz, zst, xz), JSON, text, WARC and WET, MediaWiki XML, tar archives.
 
-Spark's own readers where they exist; containers that Spark cannot split or decode come as whole files (`binaryFile`) and are
-taken apart on executors, one file a row, streamed member by member. Paths go through Spark, so any of its stores will do.
+Spark's own readers where they exist; containers that Spark cannot split or decode are taken apart on executors, one file a task's row, streamed member
+by member. Smaller files come through Spark (`binaryFile`), so any of its stores will do; large ones are streamed from their store.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import tarfile
 import zlib
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,20 +47,101 @@ def unpacked(name: str, data: bytes) -> bytes:
     return data
 
 
+class Frames(io.RawIOBase):
+    """The bytes of zstd frames one after the other, as a stream; a frame that ends early is an error."""
+
+    def __init__(self, raw, name: str = "", step: int = 1 << 20):
+        self.raw, self.name, self.step, self.frame, self.rest, self.out = raw, name, step, None, b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        import zstandard
+
+        while not self.out:
+            data = self.rest or self.raw.read(self.step)
+            self.rest = b""
+            if not data:
+                if self.frame is not None:
+                    raise ValueError(f"{self.name}: truncated zstd frame")
+                return 0
+            self.frame = self.frame or zstandard.ZstdDecompressor().decompressobj()
+            self.out = self.frame.decompress(data)
+            if self.frame.eof:
+                self.rest, self.frame = self.frame.unused_data, None
+        n = min(len(into), len(self.out))
+        into[:n], self.out = self.out[:n], self.out[n:]
+        return n
+
+
+def plain_stream(raw, name: str = ""):
+    """A stream of what a stream holds, by its magic bytes."""
+    whole = io.BufferedReader(raw) if isinstance(raw, io.RawIOBase) else raw
+    head = whole.peek(6)[:6] if hasattr(whole, "peek") else b""
+    if head[:2] == b"\x1f\x8b":
+        return gzip.GzipFile(fileobj=whole)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return io.BufferedReader(Frames(whole, name))
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMAFile(whole)
+    if head[:3] == b"BZh":
+        return bz2.BZ2File(whole)
+    return whole
+
+
+#: Files over this many bytes are streamed from their store instead of coming as one row.
+MOST_WHOLE = 256 << 20
+
+
+def _opened(path: str, content: bytes | None):
+    if content is not None:
+        return io.BufferedReader(io.BytesIO(content))
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(_Stream(store.open_input_stream(at, compression=None)))
+
+
+class _Stream(io.RawIOBase):
+    def __init__(self, raw):
+        self.raw = raw
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.raw.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+
 def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, content): content is null for files over MOST_WHOLE, which are read as streams by their path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    large = found.where(F.col("length") > MOST_WHOLE).select("path", F.lit(None).cast("binary").alias("content"))
+    return found.where(F.col("length") <= MOST_WHOLE).select("path", "content").unionByName(large)
+
+
+#: Rows to a batch that a reader gives.
+BATCH = 1000
+
+
+def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, BATCH)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, pattern: str | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped and lines that are no object dropped, or an error if strict. zst and xz are unpacked whole."""
+    """JSON lines; blank lines are skipped and lines that are no object dropped, or an error if strict. zst and xz are unpacked as streams."""
     if pattern and pattern.rsplit(".", 1)[-1] in ("zst", "xz"):
 
         def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for name, data in zip(part["path"], part["content"]):
-                    text = unpacked(name, data).decode("utf-8-sig")
-                    yield pd.DataFrame({"value": [x for x in text.split("\n") if x.strip()]})
+                    text = io.TextIOWrapper(plain_stream(_opened(name, data), name), encoding="utf-8-sig", newline="\n")
+                    yield from _batched(((x.rstrip("\r\n"),) for x in text if x.strip()), ["value"])
 
         raw = _files(spark, path, pattern).mapInPandas(lines, "value string")
     else:
@@ -95,26 +177,28 @@ def read_documents(spark: SparkSession, path: str, schema: str = "id string, tex
     return whole
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and body of each record; a length that runs past the end is an error."""
-    at = 0
-    while at < len(data):
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+def warc_records(data) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and body of each record of plain bytes or a stream of them; a length that runs past the end is an error."""
+    stream = io.BytesIO(data) if isinstance(data, (bytes, bytearray)) else data
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
             return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record")
         head = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("truncated WARC record")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         n = int(head["content-length"])
-        if end + 4 + n > len(data):
+        body = stream.read(n)
+        if len(body) < n:
             raise ValueError("truncated WARC record")
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        yield head, body
 
 
 def unchunked(body: bytes) -> bytes:
@@ -158,19 +242,20 @@ def http_text(body: bytes) -> tuple[int, str, str]:
 def read_warc(spark: SparkSession, path: str, mimes: tuple[str, ...] = ("text/html", "text/plain"), pattern: str = "*.gz") -> DataFrame:
     """(url, date, kind, mime, text): WET conversions, and responses with status 200 and one of the mimes."""
 
+    def rows(name: str, data: bytes | None) -> Iterator[tuple]:
+        for head, body in warc_records(plain_stream(_opened(name, data), name)):
+            kind = head.get("warc-type")
+            if kind == "conversion":
+                yield head.get("warc-target-uri"), head.get("warc-date"), kind, "text/plain", body.decode("utf-8", "replace")
+            elif kind == "response":
+                status, mime, text = http_text(body)
+                if status == 200 and mime in mimes:
+                    yield head.get("warc-target-uri"), head.get("warc-date"), kind, mime, text
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"]):
-                rows = []
-                for head, body in warc_records(unpacked(name, data)):
-                    kind = head.get("warc-type")
-                    if kind == "conversion":
-                        rows.append((head.get("warc-target-uri"), head.get("warc-date"), kind, "text/plain", body.decode("utf-8", "replace")))
-                    elif kind == "response":
-                        status, mime, text = http_text(body)
-                        if status == 200 and mime in mimes:
-                            rows.append((head.get("warc-target-uri"), head.get("warc-date"), kind, mime, text))
-                yield pd.DataFrame(rows, columns=["url", "date", "kind", "mime", "text"])
+                yield from _batched(rows(name, data), ["url", "date", "kind", "mime", "text"])
 
     return _files(spark, path, pattern).mapInPandas(run, "url string, date string, kind string, mime string, text string")
 
@@ -187,21 +272,20 @@ GENERATED_MARKS = ("@generated", "auto-generated", "automatically generated")
 def read_tar(spark: SparkSession, path: str, least_chars: int = 80, pattern: str = "*.tar*") -> DataFrame:
     """(archive, path, text) of the plain files: no links, no way out of the archive, no binary, short or generated ones."""
 
+    def rows(name: str, data: bytes | None) -> Iterator[tuple]:
+        with tarfile.open(fileobj=_opened(name, data), mode="r|*") as tar:
+            for m in tar:
+                if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
+                    continue
+                body = tar.extractfile(m).read()
+                text = body.decode("utf-8", "replace")
+                if b"\0" not in body and len(text) >= least_chars and not any(g in text[:4000].lower() for g in GENERATED_MARKS):
+                    yield name, m.name, text
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"]):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tar:
-                    for m in tar:
-                        if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/"):
-                            continue
-                        body = tar.extractfile(m).read()
-                        if b"\0" in body:
-                            continue
-                        text = body.decode("utf-8", "replace")
-                        if len(text) >= least_chars and not any(g in text[:4000].lower() for g in GENERATED_MARKS):
-                            rows.append((name, m.name, text))
-                yield pd.DataFrame(rows, columns=["archive", "path", "text"])
+                yield from _batched(rows(name, data), ["archive", "path", "text"])
 
     return _files(spark, path, pattern).mapInPandas(run, "archive string, path string, text string")
 

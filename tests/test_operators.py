@@ -305,6 +305,22 @@ def test_formats(spark, tmp_path):
     assert got == sorted([f"row {i}" for i in range(3)] * 5 + ["whole\nfile"])
 
 
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_WHOLE", 10)
+    monkeypatch.setattr(readers, "BATCH", 2)
+    rows = [{"id": str(i), "text": f"row {i}"} for i in range(7)]
+    data = "".join(json.dumps(r) + "\n" for r in rows).encode()
+    (tmp_path / "c.jsonl.zst").write_bytes(zstandard.compress(data[:40]) + zstandard.compress(data[40:]))
+    (tmp_path / "d.jsonl.xz").write_bytes(lzma.compress(data))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc(b"conversion", b"http://c/%d" % i, b"t%d" % i)) for i in range(5)))
+    for pattern in ("*.zst", "*.xz"):
+        assert sorted(r["id"] for r in readers.read_json_lines(spark, str(tmp_path), "id string, text string", strict=True, pattern=pattern).collect()) == [str(i) for i in range(7)]
+    assert sorted(r["text"] for r in readers.read_warc(spark, str(tmp_path)).collect()) == [f"t{i}" for i in range(5)]
+    (tmp_path / "c.jsonl.zst").write_bytes(zstandard.compress(data * 50)[:-4])
+    with pytest.raises(Exception, match="truncated"):
+        readers.read_json_lines(spark, str(tmp_path), "id string", pattern="*.zst").collect()
+
+
 def test_truncated_zstd():
     with pytest.raises(ValueError):
         readers.unpacked("x", zstandard.compress(b"abc" * 1000)[:-6])
