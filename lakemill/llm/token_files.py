@@ -26,26 +26,36 @@ from .tokens import encoder
 #: Ids to a block, more only where one document has more.
 BLOCK = 1 << 18
 BLOCKS = "part int, before bigint, keys array<bigint>, sizes array<bigint>, control binary, data binary"
-_LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+_LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit ranks."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = size - 1
-    code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(4)[None, :] < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    n, most = len(ranks), int(ranks.max(initial=0))
+    code = np.zeros(-(-n // 4) * 4, np.uint8)
+    for bound in (0xFF, 0xFFFF, 0xFFFFFF):
+        if most > bound:
+            code[:n] += ranks > bound
+    ends = np.cumsum(code[:n], dtype=np.int64) + np.arange(1, n + 1)
+    at, each = ends - code[:n] - 1, ranks.view(np.uint8).reshape(-1, 4)
+    data = np.empty(int(ends[-1]) if n else 0, np.uint8)
+    data[at] = each[:, 0]
+    for k in range(1, 4):
+        more = np.flatnonzero(code[:n] >= k)
+        if not len(more):
+            break
+        data[at[more] + k] = each[more, k]
+    quads = code.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks again: lengths by a table of control bytes, then one gather of up to four bytes each."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    start = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    start = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
     out = raw[start].astype(np.uint32)
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
@@ -75,7 +85,15 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, folder: str
         def block():
             ids = np.frombuffer(b"".join(parts), "<u4")
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), pa.array([wide]), pa.array([(ids if wide else ids.astype("<u2")).tobytes()], pa.binary())], names=["part", "before", "keys", "sizes", "wide", "raw"])
+            # ids of the block and how often each occurs: for the ranking, without reading the block again
+            if wide:
+                own, times = np.unique(ids, return_counts=True)
+            else:
+                times = np.bincount(ids)
+                own = np.flatnonzero(times)
+                times = times[own]
+            columns = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), pa.array([wide]), pa.array([(ids if wide else ids.astype("<u2")).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([own.astype(np.int64)], pa.list_(pa.int64())), pa.array([times.astype(np.int64)], pa.list_(pa.int64()))], names=["part", "before", "keys", "sizes", "wide", "raw", "own", "times"])
 
         for batch in encode(batches):
             for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -88,21 +106,10 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, folder: str
         if keys:
             yield block()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, 32):
-            for wide, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                here = np.bincount(np.frombuffer(raw, "<u4" if wide else "<u2"))
-                if len(here) > len(total):
-                    here, total = total, here.copy()
-                total[: len(here)] += here
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
-
     # the text's hash orders rows that share a key, and parts them into ranges
     ordered = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), row_key(text)[0].alias("tie")).repartitionByRange(partitions(spark), "k", "tie").sortWithinPartitions("k", "tie")
-    raw = written(ordered.mapInArrow(narrow, "part int, before bigint, keys array<bigint>, sizes array<bigint>, wide boolean, raw binary"), "ids")
-    counts = raw.select("wide", "raw").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    raw = written(ordered.mapInArrow(narrow, "part int, before bigint, keys array<bigint>, sizes array<bigint>, wide boolean, raw binary, own array<bigint>, times array<bigint>"), "ids")
+    counts = raw.select(F.explode(F.arrays_zip("own", "times")).alias("x")).groupBy(F.col("x.own").alias("id")).agg(F.sum("x.times").alias("n"))
     by_rank = np.array([r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -114,7 +121,7 @@ def write_token_files(documents: DataFrame, path: str, end_id: int, folder: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], names=["part", "before", "keys", "sizes", "control", "data"])
 
     folder = folder or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    raw.mapInArrow(pack, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    raw.drop("own", "times").mapInArrow(pack, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     table = pa.table({"rank": pa.array(np.arange(len(by_rank))), "id": pa.array(by_rank.astype(np.int64))})
     spark.createDataFrame(table).coalesce(1).write.parquet(f"{folder}/ranks")
     drop(raw)

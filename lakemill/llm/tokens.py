@@ -63,6 +63,9 @@ class Encoder:
                 pre = json.load(f)["pre_tokenizer"]["pretokenizers"]
             self.cut = regex.compile(pre[0]["pattern"]["Regex"]).findall
             self.letters = byte_letters()
+            # no added token is letters alone, or letters and one mark; others are looked for
+            self.plain = not any(x.rstrip(".,").isalpha() for x in self.special) and self.cut("straße.") == ["straße", "."]
+            self.marked = regex.compile("|".join(map(regex.escape, ["<|", *self.special]))).search
             self.latin = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch if [x["type"] for x in pre[1:]] == ["ByteLevel"] else lambda _: None
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -81,17 +84,21 @@ class Encoder:
         return found
 
     def words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, odd, known = {}, [], self.parts.get
+        out, odd, known, part = {}, [], self.parts.get, self.part
         for w in words:
             s = w.decode("utf-8", "surrogatepass")
             low = s.lower()
             found = known(low)
-            if found is None and low[-1] in ".," and low[:-1].isalpha() and (head := known(low[:-1])) is not None:
-                found = head + self.part(low[-1])
             if found is None:
-                if len(w) <= LONG and self.latin(s) and "<|" not in s and not any(x in s for x in self.special):
-                    found = b"".join(map(self.part, self.cut(low)))
-                else:
+                # letters alone are one part of the pattern; a mark at the end is another
+                head = low[:-1] if low[-1] in ".," else low
+                if len(w) > LONG or not head:
+                    pass
+                elif self.plain and (head.isascii() or self.latin(s)) and head.isalpha():
+                    found = part(head) if head is low else (known(head) or part(head)) + part(low[-1])
+                elif self.latin(s) and not self.marked(s):
+                    found = b"".join(map(part, self.cut(low)))
+                if found is None:
                     odd.append(w)
                     continue
             out[w] = found
