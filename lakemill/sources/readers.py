@@ -290,6 +290,20 @@ def read_tar(spark: SparkSession, path: str, least_chars: int = 80, pattern: str
     return _files(spark, path, pattern).mapInPandas(run, "archive string, path string, text string")
 
 
+#: Bytes of files that are worth dealing out anew, and that still are for each core.
+LEAST_SPREAD, MOST_SPREAD = 1 << 20, 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its files are too few for them to be busy: a small table may be a single row group, which one task reads whatever its
+    size. Larger tables have splits enough and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if not LEAST_SPREAD <= size <= MOST_SPREAD * cores or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def first_text(*fields: Column) -> Column:
     """The first field that is not blank."""
     return F.coalesce(*[F.when(F.trim(f) != "", f) for f in fields])
