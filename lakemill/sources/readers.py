@@ -298,7 +298,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt out to all cores if its files are too few for them to be busy: a small table may be a single row group, which one task reads whatever its
     size. Larger tables have splits enough and stay as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if not LEAST_SPREAD <= size <= MOST_SPREAD * cores or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
