@@ -14,12 +14,14 @@ bytes, each a pass over everything; so it is done on segments that are aligned f
    All segments of a round have the same column, so the order of the whole collection's suffixes falls into one small order a column,
    and the rounds number at most 2 * length. Their columns stay in memory: a block is bounded (`most` segments), so
    no external files are needed.
-4. An anchor with more than `most` distinct segments (many contexts around one common passage) would fill a task, so it is split: its strings are counted by
-   128-bit hashes, one row a string, in an aggregate with partial sums. The result is the same.
+4. An anchor with more than `most` distinct segments (many contexts around one common passage) would fill a task, so it is split, without gathering it:
+   its columns fall into bands of BAND starts. All strings that start in a band have the bytes between its last start and its first end in common, so
+   segments are counted by (band, those bytes), and those alike in all bytes of the band are covered there. Only bands in which alike
+   common bytes have different surroundings go on, string by string. Counts are aggregates with partial sums over 128-bit hashes; the result is the same.
 
 All joins are sort-merge joins, because every table here grows with the corpus; none is broadcast.
 
-Exact but for hash equality: segments are compared by 128 bits (anchor and segment hash), everything in step 3 by bytes.
+Exact but for hash equality: segments are compared by 128 bits (anchor and segment hash), step 4 by 128 bits more, everything in step 3 by bytes.
 
 Cases: a null text is empty; a text under `length` bytes loses nothing; copies in one document count, overlaps too; strings are judged on the
 input. Rows are told apart by key and text, so rows that share a key, or have none, lose only bytes of their own; rows alike in both are copies
@@ -144,6 +146,65 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterat
         yield done(rows)
 
 
+#: Starts to a band.
+BAND = 13
+
+
+def _split(segments: DataFrame, length: int) -> DataFrame:
+    """(h, s, lo, hi) of the covered bytes of segments (h, s, before, bytes) of anchors with many of them; places are relative to the anchor."""
+    first = K - length
+    bands = [(b, min(b + BAND - 1, 0)) for b in range(first, 1, BAND)]
+
+    def rows(found: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values())], names=list(names))
+
+    def halves(data: bytes) -> tuple[int, int]:
+        d = xxhash.xxh3_128_digest(data)
+        return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+    def clip(band: tuple[int, int], before: int, size: int) -> tuple[int, int]:
+        return max(band[0], -before), min(band[1], size - before - length)
+
+    long, whole = pa.int64(), pa.int32()
+
+    def by_band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            out = []
+            for h, s, before, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for k, band in enumerate(bands):
+                    lo, hi = clip(band, before, len(data))
+                    if lo <= hi:
+                        # a chance meeting of these 64 bits only sends a band on to the strings
+                        common = xxhash.xxh3_64_intdigest(data[band[1] + before : band[0] + before + length]) - (1 << 63)
+                        out.append((h, s, k, common, *halves(data[lo + before : hi + before + length]), lo, hi + length))
+            yield rows(out, {"h": long, "s": long, "k": whole, "c": long, "na": long, "nb": long, "lo": whole, "hi": whole})
+
+    each = written(segments.mapInArrow(by_band, "h bigint, s bigint, k int, c bigint, na bigint, nb bigint, lo int, hi int"), "bands")
+    common, own = ["h", "k", "c"], ["h", "k", "c", "lo", "hi", "na", "nb"]
+    kinds = written(each.groupBy(*own).agg(F.count("*").alias("n"), F.min("s").alias("s")), "kinds")
+    alike = each.join(kinds.where("n > 1").select(*own).hint("merge"), own, "left_semi").select("h", "s", "lo", "hi")
+    mixed = kinds.groupBy(*common).agg(F.count("*").alias("m")).where("m > 1").select(*common)
+    # one segment of each kind stands for it
+    asked = kinds.join(mixed.hint("merge"), common, "left_semi").groupBy("h", "s").agg(F.collect_list("k").alias("ks"))
+
+    def by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            out = []
+            for h, s, before, data, ks in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for k in ks:
+                    lo, hi = clip(bands[k], before, len(data))
+                    out += [(h, s, at, *halves(data[at + before : at + before + length])) for at in range(lo, hi + 1)]
+            yield rows(out, {"h": long, "s": long, "lo": whole, "a": long, "b": long})
+
+    met = segments.join(asked.hint("merge"), ["h", "s"]).select("h", "s", "before", "bytes", "ks")
+    strings = written(met.mapInArrow(by_string, "h bigint, s bigint, lo int, a bigint, b bigint"), "strings")
+    twice = strings.groupBy("h", "lo", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    single = strings.join(twice.hint("merge"), ["h", "lo", "a", "b"], "left_semi").select("h", "s", "lo", (F.col("lo") + length).alias("hi"))
+    # all of these strings hold the anchor, so together they cover one stretch
+    return alike.unionByName(single).groupBy("h", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(ra, rb, spans): row key and places [from, to) of covered bytes, neither sorted nor joined; rows without any are left out."""
     if length < 2 * K:
@@ -172,6 +233,7 @@ def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: st
     mixed = written(segments.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
     wanted = segments.join(mixed.hint("merge"), "h").select("h", "s", "n", "kinds", "at.ra", "at.rb", "at.pos")
     per_row = wanted.groupBy("ra", "rb").agg(F.collect_list(F.struct("pos", "h", "s", (F.col("kinds") > most).alias("hot"))).alias("wanted"))
+    # rows alike in key and text bring a segment twice; it has n > 1, so it is covered whole anyway, and it meets the others as one does
     with_text = source.join(per_row.hint("merge"), ["ra", "rb"]).select("text", "wanted")
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,21 +248,12 @@ def repeats(documents: DataFrame, length: int = 200, most: int = 50_000, key: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["h", "s", "before", "bytes", "hot"])
 
     brought = written(with_text.mapInArrow(bring, "h bigint, s bigint, before int, bytes binary, hot boolean"), "segment-bytes")
-    even = brought.where("not hot").select("h", "s", "before", "bytes").dropDuplicates(["h", "s"]).repartition(partitions(spark), "h").sortWithinPartitions("h")
+    even = brought.where("not hot").select("h", "s", "before", "bytes").repartition(partitions(spark), "h").sortWithinPartitions("h")
     judged = even.mapInArrow(lambda b: _judge(b, length, 4096), "h bigint, s bigint, lo int, hi int")
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            for h, s, before, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n = max(0, len(data) - length + 1)
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32) - before), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["h", "s", "lo", "a", "b"])
-
-    if brought.where("hot").limit(1).count():
-        each = brought.where("hot").select("h", "s", "before", "bytes").dropDuplicates(["h", "s"]).mapInArrow(strings, "h bigint, s bigint, lo int, a bigint, b bigint")
-        each = written(each, "strings")
-        common = each.groupBy("h", "lo", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        judged = judged.unionByName(each.join(common.hint("merge"), ["h", "lo", "a", "b"]).groupBy("h", "s").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi")))
+    hot = brought.where("hot").select("h", "s", "before", "bytes")
+    if not hot.isEmpty():
+        judged = judged.unionByName(_split(hot, length))
     whole = segments.where("n > 1").select("h", "s", F.lit(-(length - K)).alias("lo"), F.lit(length).alias("hi"))
     once = segments.where("n = 1").select("h", "s")
     verdicts = written(whole.unionByName(judged.join(once.hint("merge"), ["h", "s"], "left_semi")), "verdicts")

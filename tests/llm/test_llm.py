@@ -529,6 +529,61 @@ def test_shared_ids_op8(clash):
     assert got(simhash.near_duplicates(clash), "doc_id", "fingerprint", "component_id") == sorted(want, key=str)
 
 
+def test_shared_ids_op3_op5_op6(clash):
+    ids = {t: ids_of(t) for _, t in SHARED}
+    out = sorted(token_files.token_digests(clash, VOCABULARY).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    keys = [r["doc_id"] for r in out]
+    assert keys == sorted(keys, key=lambda k: -1 if k is None else k)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in out) == Counter((i, zlib.crc32(raw([*ids[t], 1]))) for i, t in SHARED)
+    # rows of one id follow each other in the order of their texts' hashes, whatever the partitions
+    again = sorted(token_files.token_digests(clash.repartition(5), VOCABULARY).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["ids_crc32"]) for r in out] == [(r["doc_id"], r["ids_crc32"]) for r in again]
+    packed = packing.best_fit_packing(clash, VOCABULARY, capacity=64).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed) == Counter((i, k, zlib.crc32(raw(p))) for i, t in SHARED for k, p in enumerate([*ids[t], 0][s : s + 64] for s in range(0, len(ids[t]) + 1, 64)))
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    coded = chunk_encoding.encode_decode(clash, VOCABULARY).collect()
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in coded) == Counter((i, hashlib.sha256(raw(ids[t])).hexdigest()) for i, t in SHARED)
+
+
+def test_shared_ids_op1_op2(spark, clash):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 0)], "doc_id long, quality int")
+    out = quality_rules.quality_rules(clash, labels).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in out) == Counter((i, counts_by_hand(t)[0], counts_by_hand(t)[4]) for i, t in SHARED)
+    model = language_id.fit(clash, F.lit(True))
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in language_id.predict(clash, model, F.lit(False)).collect()) == Counter((i, "en" if t else "und") for i, t in SHARED)
+
+
+def test_joins_are_repaired_until_they_agree():
+    """An encoder whose ids depend on the word before: joins agree only when the chunks are one."""
+
+    class Chained:
+        by_word = True
+
+        def encode(self, texts):
+            out = []
+            for t in texts:
+                words, ids = (t or "").split(), []
+                for before, w in zip(["", *words], words):
+                    ids.append(hash((before[-1:] if before[-1:] == "q" else "", w)) & 0xFFFFFFFF)
+                out.append(raw(ids))
+            return out
+
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["aq", "b", "cc", "dq"]) + str(r.randrange(9)) * r.randrange(2) for _ in range(n)) for n in (0, 1, 3, 5, 40, 400, 900)]
+    texts += [t.replace(" ", "") for t in texts[:5]] + ["x" * 3000 + " y z", " ".join("q" for _ in range(2000))]
+    coder = chunk_encoding.ChunkEncoder(Chained())
+    plain = tokens.Encoder(VOCABULARY)
+    assert chunk_encoding.ChunkEncoder(plain).encode(texts) == [raw(ids_of(t)) for t in texts]
+    words = Chained()
+    words.encode = lambda ts: [raw([hash(w) & 0xFFFFFFFF for w in (t or "").split()]) for t in ts]
+    assert chunk_encoding.ChunkEncoder(words).encode(texts) == words.encode(texts)
+    assert all(len(x) % 4 == 0 for x in coder.encode(texts))
+
+
 def test_shared_ids_op9(spark, monkeypatch):
     monkeypatch.setattr(topk, "LANE", 3)
     data = [(50, [1.0, 0.0]), (50, [0.5, 0.5]), (7, [1.0, 1.0]), (None, [9.0, 9.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (9, [1e30, -1e30]), (8, [1e30, 1e30]), (150, [-3e30, 2e29]), (11, [3e37, 1.0])]
