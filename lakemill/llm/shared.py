@@ -35,13 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of written() that no later result reads."""
+    """Delete tables of written() that no later result reads.
+
+    Shuffle files go when the driver's collector finds that no plan holds them, which can take long on a driver with a large heap; so it is asked to look.
+    """
     for df in tables:
         path = getattr(df, "_lakemill_path", None)
         if path:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
