@@ -25,28 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared scratch folder: cuts the lineage and survives the loss of executors."""
+    """df as a table in the shared scratch folder: cuts the lineage and survives the loss of executors.
+
+    Shuffle files go when the driver's collector finds that no plan holds them, which can take long on a driver with a large heap; so it is asked
+    to look after each table, or those of all plans since would stay on disk together.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._lakemill_path = path
     return out
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of written() that no later result reads.
-
-    Shuffle files go when the driver's collector finds that no plan holds them, which can take long on a driver with a large heap; so it is asked to look.
-    """
+    """Delete tables of written() that no later result reads."""
     for df in tables:
         path = getattr(df, "_lakemill_path", None)
         if path:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -700,6 +700,44 @@ def test_similar_groups_in_tiles(spark, monkeypatch):
     assert {x["doc_id"] for x in out if x["kept"]} == set(least) and 20 < len(set(least)) < 150
 
 
+def test_similar_groups_make_sets_of_candidates_alone(spark, monkeypatch):
+    """Documents that share a passage with each of many others, but are similar to none, are never gathered as whole sets."""
+    r = random.Random(17)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passages = {(i, j): fresh(12) for i in range(12) for j in range(i)}
+    texts = [" ".join(x for at, x in passages.items() if i in at) for i in range(12)] + [(copy := fresh(120)), copy + " tail"]
+    made, real = Counter(), simhash.written
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in out} == {i: min(i, 12) for i in range(14)}
+    assert made["sets-that-share"] > 10 and made["sets"] == 2
+
+
+def test_written_frees_shuffle_files(spark):
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> int:
+        found = disk.getAllFiles()
+        return sum("shuffle_" in found.apply(i).getName() for i in range(found.size()))
+
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = files()
+    tables = [shared.written(spark.range(5000).groupBy((F.col("id") % (1000 + k)).alias("g")).count(), "freed") for k in range(3)]
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and [x.count() for x in tables] == [1000, 1001, 1002]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
