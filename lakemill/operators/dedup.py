@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -181,12 +182,63 @@ def status(deliveries: DataFrame, by: str = "dedup_hash", identity: str = "occur
     return each.agg(F.sum("rows").cast("bigint").alias("input_rows"), F.sum("occ").cast("bigint").alias("raw_occurrences"), F.count("*").alias("unique_winners")).withColumn("repeated_deliveries", F.col("input_rows") - F.col("raw_occurrences")).withColumn("duplicate_occurrences", F.col("raw_occurrences") - F.col("unique_winners"))
 
 
-def greedy_simhash(docs: DataFrame, fp: str, radius: int = 3, key: str = "doc_id") -> DataFrame:
-    """(a, b, distance): pairs within the radius that share one of four 16-bit bands, each pair once; a keeps, as it comes first."""
-    one = docs.groupBy(fp).agg(F.min(key).alias("id"))
-    bands = one.select("id", F.col(fp).alias("fp"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("v")) for k in range(4)])).alias("band"))
-    other = bands.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "band")
-    return bands.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "band").join(other, "band").where("a < b").withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("bigint")).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+def band_masks(varied: int, radius: int) -> list[int]:
+    """The bits of varied dealt to radius + 2 bands, as masks of signed longs."""
+    bits = [k for k in range(64) if varied >> k & 1]
+    return np.array([sum(1 << k for k in bits[i :: radius + 2]) for i in range(radius + 2)], np.uint64).view(np.int64).tolist()
+
+
+def greedy_simhash(docs: DataFrame, fp: str, radius: int = 3, key: str = "doc_id", block: int = 1024) -> DataFrame:
+    """(a, b, distance): pairs of distinct fingerprints within the radius, each once, by their smallest keys; a keeps, as it comes first.
+
+    The bits that are not the same in all fingerprints are dealt to radius + 2 bands, of which a pair within the radius has two alike at least. So fingerprints
+    meet in the bucket of each two bands, and a pair counts in the bucket of the first two that it has alike. Bits that are the same everywhere would only make buckets of
+    everything. Buckets are cut into blocks of about `block`, and blocks are compared whole, by exclusive-or.
+    """
+    from .graph import cut
+
+    one = cut(docs.select(F.col(fp).cast("bigint").alias("fp"), F.col(key).alias("id")).groupBy("fp").agg(F.min("id").alias("id")).where("fp IS NOT NULL AND id IS NOT NULL"))
+    either, all_of = one.agg(F.bit_or("fp"), F.bit_and("fp")).first()
+    masks = band_masks(((either or 0) ^ (all_of or 0)) & (1 << 64) - 1, radius)
+    chosen = list(combinations(range(radius + 2), 2))
+    posts = one.select("fp", "id", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(masks[i] | masks[j]).cast("bigint")).alias("v")) for c, (i, j) in enumerate(chosen)])).alias("at")).select("fp", "id", "at.*")
+    sizes = posts.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1").select("c", "v", F.ceil(F.col("n") / block).cast("int").alias("of"))
+    placed = posts.join(sizes.hint("merge"), ["c", "v"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
+    blocks = cut(placed.groupBy("c", "v", "of", "block").agg(F.collect_list(F.struct("fp", "id")).alias("x")))
+    sent = blocks.where("block + 1 < of").select("c", "v", "x", F.explode(F.sequence(F.col("block") + 1, F.col("of") - 1)).alias("block"))
+    across = sent.join(blocks.where("block > 0").select("c", "v", "block", F.col("x").alias("y")).hint("merge"), ["c", "v", "block"]).select("c", "x", "y")
+    pairs = blocks.select("c", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")).unionByName(across)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows = [], 0
+            for at in range(batch.num_rows):
+                i, j = chosen[batch.column(0)[at].as_py()]
+                x = batch.column(1)[at].values
+                y = batch.column(2)[at].values if batch.column(2)[at].is_valid else None
+                fx = x.field("fp").to_numpy()
+                fy = fx if y is None else y.field("fp").to_numpy()
+                for lo in range(0, len(fx), 256):
+                    left, right = np.nonzero(np.bitwise_count(fx[lo : lo + 256, None].view(np.uint64) ^ fy[None, :].view(np.uint64)) <= radius)
+                    left += lo
+                    if y is None:
+                        left, right = left[left < right], right[left < right]
+                    differ = fx[left] ^ fy[right]
+                    first = np.ones(len(differ), bool)
+                    for k in set(range(j)) - {i}:
+                        first &= differ & masks[k] != 0
+                    if first.any():
+                        ends = x.field("id").take(pa.array(left[first])), (x if y is None else y).field("id").take(pa.array(right[first]))
+                        found.append(pa.RecordBatch.from_arrays([*ends, pa.array(np.bitwise_count(differ[first].view(np.uint64)).astype(np.int64))], names=["x", "y", "distance"]))
+                        rows += len(ends[0])
+                    if rows >= 1 << 16:
+                        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                        found, rows = [], 0
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    kind = one.schema["id"].dataType.simpleString()
+    return pairs.mapInArrow(compare, f"x {kind}, y {kind}, distance bigint").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def exact_and_near(rows: DataFrame, key: str, digest: str, fp: str, order: Sequence[Column], radius: int, components) -> DataFrame:

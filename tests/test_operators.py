@@ -71,6 +71,32 @@ def test_simhash_is_the_majority(spark):
     assert values(df, H.md5_simhash(F.col("w"))) == [want(w) for w in words]
 
 
+def test_simhash_bands_hold_bits_that_differ():
+    """Bits that are alike everywhere make no bands: they would put all fingerprints into one bucket."""
+    assert [bin(m).count("1") for m in D.band_masks((1 << 22) - 1, 3)] == [5, 5, 4, 4, 4]
+    assert sum(m % (1 << 64) for m in D.band_masks((1 << 64) - 1, 3)) == (1 << 64) - 1 and D.band_masks(0, 1) == [0, 0, 0]
+
+
+@pytest.mark.parametrize("radius,block", [(3, 1024), (3, 7), (1, 7)])
+def test_simhash_pairs(spark, radius, block):
+    """Against all pairs: narrow and wide fingerprints, negative ones, copies, nulls, large buckets in blocks."""
+    r = random.Random(4)
+    narrow = [(i * 40503) & 65535 | (i % 50) << 16 for i in range(900)]
+    wide = [r.getrandbits(64) - (1 << 63) for _ in range(40)]
+    wide += [((x % (1 << 64)) ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) ^ (1 << 63)) - (1 << 63) for x in wide for _ in range(8)]
+    for fps in (narrow, wide, narrow + wide, [5], []):
+        rows = [*enumerate(fps), (7000, None), (None, 12345), *[(8000 + i, x) for i, x in enumerate(fps[:30])]]
+        first = {}
+        for i, x in rows:
+            if i is not None and x is not None:
+                first[x] = min(i, first.get(x, i))
+        ids = sorted((i, x) for x, i in first.items())
+        want = sorted((i, j, d) for n, (j, y) in enumerate(ids) for i, x in ids[:n] if (d := ((x ^ y) % (1 << 64)).bit_count()) <= radius)
+        out = D.greedy_simhash(spark.createDataFrame(rows, "doc_id long, fp long").repartition(3), "fp", radius, block=block)
+        assert out.columns == ["a", "b", "distance"] and sorted(map(tuple, out.collect())) == want
+        assert len(want) > 100 or radius < 3 or len(fps) < 2
+
+
 def test_affine_minhash(spark):
     import hashlib
 
