@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.hashing import row_key  # noqa: F401
+from lakemill.operators.graph import free, shuffles
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,13 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared scratch folder: cuts the lineage and survives the loss of executors.
 
-    Shuffle files go when the driver's collector finds that no plan holds them, which can take long on a driver with a large heap; so it is asked
-    to look after each table, or those of all plans since would stay on disk together.
+    The shuffle files of its plan are gone when it returns, or those of all plans since would stay on disk together.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = shuffles(spark)
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    free(spark, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakemill_path = path
     return out

@@ -700,6 +700,41 @@ def test_similar_groups_in_tiles(spark, monkeypatch):
     assert {x["doc_id"] for x in out if x["kept"]} == set(least) and 20 < len(set(least)) < 150
 
 
+def test_similar_groups_in_rounds(spark, monkeypatch):
+    """Prefixes and texts in passes, pairs and tiles in rounds: no table of sets holds all that are compared, and groups are those of brute force."""
+    from lakemill.operators import similar
+
+    for name, value in (("MANY", 4), ("TILE", 8), ("ROUND", 6000), ("PASSES", 2)):
+        monkeypatch.setattr(similar, name, value)
+    r, texts = random.Random(31), []
+    for n in (70, 60, 50):
+        base = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+        for _ in range(14):
+            copy = list(base)
+            for at in r.sample(range(n), r.randrange(4)):
+                copy[at] = f"edit{r.random()}"
+            texts.append(" ".join(copy))
+    sets = [frozenset(similar.shingles(t, None, 5).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    least[i] = least[j] = min(least[i], least[j])
+    made, real = {}, simhash.written
+
+    def counted(df, name):
+        out = real(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in out) == sorted(enumerate(least))
+    assert len(made["set-digests"]) == len(made["shared-postings"]) == 2 and len(made["similar-to-hubs"]) > 1
+    assert max(made["sets"]) < 0.7 * len(set(sets)) <= sum(made["sets"])
+
+
 def test_similar_groups_make_sets_of_candidates_alone(spark, monkeypatch):
     """Documents that share a passage with each of many others, but are similar to none, are never gathered as whole sets."""
     r = random.Random(17)
@@ -738,6 +773,16 @@ def test_written_frees_shuffle_files(spark):
     assert files() <= before and [x.count() for x in tables] == [1000, 1001, 1002]
 
 
+def test_no_shuffle_files_after_a_table(spark):
+    """Each table's own files are gone when it is there, without a later query."""
+    from lakemill.operators import graph
+
+    for make in (lambda df: shared.written(df, "freed"), graph.cut):
+        before = graph.shuffles(spark)
+        table = make(spark.range(5000).groupBy((F.col("id") % 1003).alias("g")).count())
+        assert graph.shuffles(spark) <= before and table.count() == 1003
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
