@@ -50,6 +50,17 @@ def test_similar_components(spark, copies):
     assert won == {c: (min((i for i in want if want[i] == c), key=lambda i: (-(i % 100), -(i * 7919 % 1009), i)), least.count(c) - 1) for c in set(want.values())}
 
 
+def test_similar_winners_leave_no_texts_or_sets(spark, copies):
+    """Scratch tables of texts, prefixes, postings and sets are gone when the result is there."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "lakemill")
+    before = set(shared.iterdir()) if shared.exists() else set()
+    run(spark, "a11_a12_similar_winners", copies[0])
+    left = [spark.read.parquet(str(x)).columns for x in set(shared.iterdir()) - before]
+    assert not [x for x in left if {"text", "p", "s", "h", "docs"} & set(x)]
+
+
 def test_whole_code_tokens_and_skeletons(spark, tmp_path):
     base = "x = 1 \"s\" " * 300
     spark.createDataFrame([(0, base + "foo(1)"), (1, base + "foo[1]"), (2, base + "bar(2)")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
