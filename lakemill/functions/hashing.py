@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, LongType
@@ -106,3 +107,28 @@ def md5_simhash(shingles: Column, bits: int = 64) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda k: F.when(ones(k) * 2 > F.size(x), "1").otherwise("0")), "")
 
     return bound(F.transform(shingles, digits), vote)
+
+
+def word_simhashes(rows: DataFrame, size: int, key: str, words: str) -> DataFrame:
+    """(key, bits): md5_simhash of the distinct runs of `size` words, of words in one text with a space between them; all zero where there are fewer."""
+
+    def one(text: str | None) -> str:
+        from hashlib import md5
+
+        joined = (text or "").encode("utf-8", "surrogatepass")
+        ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+        starts = np.concatenate(([0], ends[:-1] + 1))[: max(0, len(ends) - size + 1)].tolist()
+        runs = list({joined[s:e] for s, e in zip(starts, ends[size - 1 :].tolist())})
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(runs), 1 << 15):
+            lead = b"".join([md5(x).digest()[:8] for x in runs[at : at + (1 << 15)]])
+            ones += np.unpackbits(np.frombuffer(lead, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return (48 + (2 * ones > len(runs))).astype(np.uint8).tobytes().decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(t) for t in part.column(1).to_pylist()], pa.string())], names=[key, "bits"])
+
+    return rows.select(key, words).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, bits string")

@@ -352,7 +352,7 @@ def u9_u14_shingles(spark, sf_dir):
 def u11_simhash(spark, sf_dir):
     """64 bits of md5, by majority over 5-word shingles; tested against Python."""
     words = F.transform(T.found(F.col("text"), T.WORD), F.lower)
-    return table(spark, sf_dir, "documents").select("doc_id", H.md5_simhash(F.array_distinct(F.transform(T.windows(words, 5), lambda w: F.array_join(w, " ")))).alias("bits"))
+    return H.word_simhashes(table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words")), 5, "doc_id", "words")
 
 
 @query(r"SELECT a.vec_id, bit_count(xor(a.vec_id * 2654435761, (a.vec_id + 1) * 40503)) AS distance FROM embeddings a")

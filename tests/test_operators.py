@@ -71,6 +71,23 @@ def test_simhash_is_the_majority(spark):
     assert values(df, H.md5_simhash(F.col("w"))) == [want(w) for w in words]
 
 
+def test_word_simhashes(spark):
+    """As md5_simhash of distinct runs of words, without a bit string a run."""
+    import hashlib
+
+    texts = ["a b c d e f é", "a b c d", "", None, "x " * 40 + "y", " ".join(f"w{k * k % 9973}" for k in range(5_000))]
+
+    def want(text):
+        w = (text or "").split()
+        runs = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+        bits = np.array([[int(c) for c in format(int(hashlib.md5(x.encode()).hexdigest()[:16], 16), "064b")] for x in runs]).reshape(-1, 64)
+        return "".join(str(int(x)) for x in 2 * bits.sum(axis=0) > len(runs))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {x["id"]: x["bits"] for x in H.word_simhashes(df, 5, "id", "t").collect()}
+    assert got == dict(enumerate(map(want, texts)))
+
+
 def test_simhash_bands_hold_bits_that_differ():
     """Bits that are alike everywhere make no bands: they would put all fingerprints into one bucket."""
     assert [bin(m).count("1") for m in D.band_masks((1 << 22) - 1, 3)] == [5, 5, 4, 4, 4]
