@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +26,43 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+#: Rows, and bytes of text where they are more than one row, that are encoded at once.
+ROWS, BYTES = 64, 1 << 18
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of up to ROWS rows and BYTES bytes of the texts in the second column, or one row."""
+    sizes = [x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()]
+    start = held = 0
+    for at, n in enumerate(sizes):
+        if at > start and (at - start == ROWS or held + n > BYTES):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def token_counts(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(key, token_count, token_sha256[, ids]): ids of the text and the end id."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
-        for part in parts:
-            rows = []
-            for k, e in zip(part[key], tok.encode_batch([t or "" for t in part[text]], add_special_tokens=False)):
-                ids = np.array([*e.ids, end_id], "<u4")
-                rows.append((k, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), ids.tolist()))
-            out = pd.DataFrame(rows, columns=[key, "token_count", "token_sha256", "ids"])
-            yield out if with_ids else out.drop(columns="ids")
+        for batch in batches:
+            # encodings take many times the bytes of their texts, so few texts are encoded at once, whatever a batch holds
+            for part in slices(batch):
+                counts, digests, each = [], [], []
+                for e in tok.encode_batch([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False):
+                    ids = np.array([*e.ids, end_id], "<u4")
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    if with_ids:
+                        each.append(ids.astype(np.int64))
+                more = {"ids": pa.array(each, pa.list_(pa.int64()))} if with_ids else {}
+                yield pa.RecordBatch.from_pydict({key: part.column(0), "token_count": pa.array(counts, pa.int64()), "token_sha256": pa.array(digests, pa.string()), **more})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, token_count bigint, token_sha256 string" + ", ids array<bigint>" * with_ids)
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, token_count bigint, token_sha256 string" + ", ids array<bigint>" * with_ids)
 
 
 def cached_counts(docs: DataFrame, cache: DataFrame | None, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

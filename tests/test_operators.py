@@ -75,6 +75,8 @@ def test_word_simhashes(spark):
     """As md5_simhash of distinct runs of words, without a bit string a run."""
     import hashlib
 
+    import numpy as np
+
     texts = ["a b c d e f é", "a b c d", "", None, "x " * 40 + "y", " ".join(f"w{k * k % 9973}" for k in range(5_000))]
 
     def want(text):
@@ -438,3 +440,14 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["n"], r["total"]) for r in spark.table("w").collect()) == [(1, 1.0), (1, 2.0)]
+
+
+def test_token_counts_encode_few_texts_at_once():
+    import pyarrow as pa
+
+    from lakemill.operators import tokenizing as K
+
+    texts = ["a" * n for n in [10] * 200 + [K.BYTES + 5, 3, K.BYTES - 2, 2, 1]] + [None]
+    parts = list(K.slices(pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts})))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= K.ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= K.BYTES) for p in parts)
